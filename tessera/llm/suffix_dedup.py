@@ -366,12 +366,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     return whole.select("doc_id"), part
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text).
-
-    With texts, also kept_text: the remaining bytes, as text, where something was removed
-    from a part of the document (bytes of a character that was cut through are dropped).
-    """
+def cuts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
+    """(doc_id, took, count, sha, kept_text) of the documents that lose bytes; took is -1 where all go."""
     whole, part = repeats(docs, length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,9 +393,21 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(took, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(rest, pa.string())], names=["doc_id", "took", "count", "sha", "kept_text"])
 
     cut = part.mapInArrow(run, "doc_id long, took long, count long, sha string, kept_text string")
+    gone = whole.select("doc_id", F.lit(-1).cast("long").alias("took"), F.lit(1).cast("long").alias("count"), F.lit(EMPTY).alias("sha"), F.lit("").alias("kept_text"))
+    return cut.unionByName(gone).dropDuplicates(["doc_id"])
+
+
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
-    out = out.join(cut.unionByName(whole.select("doc_id", F.lit(-1).cast("long").alias("took"), F.lit(1).cast("long").alias("count"), F.lit(EMPTY).alias("sha"), F.lit("").alias("kept_text"))).dropDuplicates(["doc_id"]), "doc_id", "left")
+    out = out.join(cuts(docs, length, gram).drop("kept_text"), "doc_id", "left")
     took = F.when(F.col("took") == -1, F.col("n_bytes")).otherwise(F.coalesce("took", F.lit(0)))
-    out = out.select("doc_id", "n_bytes", took.alias("n_removed"), F.coalesce("count", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), "kept_text")
-    return out if texts else out.drop("kept_text")
+    return out.select("doc_id", "n_bytes", took.alias("n_removed"), F.coalesce("count", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"))
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with the repeated bytes out of text (bytes of a character that was cut through go too)."""
+    new = cuts(docs, length, gram, texts=True).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
+    joined = docs.join(new, docs["doc_id"] == F.col("_id"), "left")
+    return joined.withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_kept"))).select(*docs.columns)
