@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as C
 from .minhash import _groups
 
-LENGTH, GRAM, HOT = 200, 64, 512
+LENGTH, GRAM, HOT = 200, 64, 64
 #: Bytes of pieces that one sort holds; a group has at most HOT pieces of under 2 * LENGTH bytes.
 BUNDLE = 1 << 20
 PLACE = 24
@@ -351,7 +351,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     met = slim.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     whole = C.kept(slim.join(met, "digest").select("doc_id", "rep", "copies"))
     every = C.kept(anchored(docs, length, gram))
-    common = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join has two plain exchanges, whose skewed partitions Spark splits.
+    common = C.kept(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     marks = every.join(common, "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h")).alias("marks"))
     marks = marks.join(whole, "doc_id", "left").where("rep is null or rep = doc_id").select("doc_id", "marks", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     candidates = C.kept(docs.join(marks, "doc_id"))
@@ -359,7 +360,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     spans = sorted_spans(found.where("piece is not null"), length)
     own = found.where("ahead = -2").select("doc_id", F.shiftright("place", 24).alias("place"), F.col("place").bitwiseAND((1 << 24) - 1).alias("n"))
     hot = found.where("piece is null and ahead > -2").select("route", "check", "doc_id", "place", "ahead")
-    twice = hot.groupBy("route", "check").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    twice = C.kept(hot.groupBy("route", "check").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("route", "check"))
     far = hot.where("ahead = 0").join(twice, ["route", "check"]).select("doc_id", "place", F.lit(length).cast("long").alias("n"))
     all_spans = spans.unionByName(own).unionByName(far).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
     part = candidates.where("copies = 1").select("doc_id", "text").join(all_spans, "doc_id")
