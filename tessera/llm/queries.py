@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, langid, minhash, packing, suffix_dedup
+from . import fm_index, langid, minhash, packing, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,20 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+#: Of op8, as its contract states them.
+URL_RULES = [
+    url_filter.Rule("com", "/en/", "block"),
+    url_filter.Rule("example.com", "/en/7", "allow"),
+    url_filter.Rule("net", "/de/", "block"),
+    url_filter.Rule("example.net", "/de/8", "block"),
+    url_filter.Rule("org", "/es/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +47,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op9_suffix_array_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
+
+_URL = r"""
+    with p as (
+        select page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
+        from pages
+    ), r(h, p, v) as (values {rules}),
+    f as (
+        select *, (select max((length(h || p), length(h), h || p, v)) from (select h, r.p, v from r) as x where (host = h or ends_with(host, '.' || h)) and starts_with(path, x.p)) as best
+        from p
+    )
+"""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_url_filter": _URL.format(rules=", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)) + "select page_id, host, path, best[3] as rule, coalesce(best[4], 'allow') as verdict from f",
+}
