@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, langid, minhash, packing, suffix_dedup, url_filter
+from . import cdc, fm_index, langid, minhash, packing, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns doc_id, n_bytes, n_repeated (chunks), n_removed (bytes), n_spans, kept_sha256."""
+    return cdc.deduplicated(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +52,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_content_defined_chunks, op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
 
 _URL = r"""
     with p as (
