@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, fm_index, langid, minhash, packing, suffix_dedup, url_filter
+from . import cdc, fm_index, langid, media, minhash, packing, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.stored(_table(spark, sf_dir, "documents")))
+
+
 #: Of op8, as its contract states them.
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -52,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_content_defined_chunks, op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_content_defined_chunks, op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op7_media_signatures, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
 
 _URL = r"""
     with p as (
