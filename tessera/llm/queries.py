@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, fm_index, langid, media, minhash, packing, suffix_dedup, url_filter
+from . import cdc, fm_index, langid, media, minhash, packing, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns doc_id, n_bytes, n_repeated (chunks), n_removed (bytes), n_spans, kept_sha256."""
     return cdc.deduplicated(_table(spark, sf_dir, "documents")).drop("kept_text")
@@ -56,7 +60,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_content_defined_chunks, op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op7_media_signatures, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_salvage, op3_content_defined_chunks, op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op7_media_signatures, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
 
 _URL = r"""
     with p as (
@@ -70,6 +74,17 @@ _URL = r"""
     )
 """
 
+_WARC = """
+    with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+    d as (select page_id, octet_length(b) as n, sha256(b) as h from p),
+    f as (select *, case when n >= 100 then min(page_id) over (partition by h) end as first from d)
+    select page_id, n as payload_bytes, h as payload_digest,
+        case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+        case when first is not null and page_id is distinct from first then first end as refers_to
+    from f
+"""
+
 SQL: dict[str, str] = {
+    "op1_warc_salvage": _WARC,
     "op8_url_filter": _URL.format(rules=", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)) + "select page_id, host, path, best[3] as rule, coalesce(best[4], 'allow') as verdict from f",
 }
