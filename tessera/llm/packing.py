@@ -2,8 +2,8 @@
 
 Tokens: a public tokenizer's ids and one end id per document. A text is cut at spaces and
 newlines, where this tokenizer's pre-tokenizer always cuts and neither lower-casing nor
-normalization looks across; each distinct word of a batch is encoded once and its ids are
-gathered back. Documents longer than the capacity become full pieces and a last one.
+normalization looks across; each distinct word is encoded once and its ids are gathered
+back. Documents longer than the capacity become full pieces and a last one.
 
 Packing: pieces are dealt evenly by a hash and sorted by length, longest first, in each task; each goes
 into the open sequence with the least free space that takes it. Open sequences are kept
@@ -33,44 +33,61 @@ from . import common as C
 
 CAPACITY, OPEN, END = 2048, 4096, 0
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Words whose ids a worker remembers; when full it starts afresh.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers, over all its tasks; when full it starts afresh.
+REMEMBERED = 600_000
 #: Pieces that one task packs, at the least; with fewer in all, one task has them.
 EACH = 4000
 
 
 class Words:
-    """A tokenizer that encodes each distinct word of a batch once."""
+    """A tokenizer that encodes each distinct word once for as long as it is remembered.
+
+    Before texts are cut at spaces, a full stop or comma after a Latin letter is set off by a
+    space: the pre-tokenizer cuts there too and drops spaces. A-Z are lower-cased first, as the
+    tokenizer does, unless the texts may hold the tokenizer's special strings.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.table = np.concatenate((self.table, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(size)))
+        self.known |= zip(new, range(len(self.known), len(self.known) + len(new)), strict=True)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, end to end, and the n + 1 offsets of the texts."""
-        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        texts = texts.cast(pa.large_string())
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        apart = pc.replace_substring_regex(texts, r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])", r"\1 \2")
+        words = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
         per = np.asarray(words.value_lengths())
         coded = words.flatten().dictionary_encode()
         index, distinct = np.asarray(coded.indices), coded.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.forget()
             new = distinct
         if new:
-            self.known |= {w: np.array(e.ids, np.uint32) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        lists = [self.known[w] for w in distinct]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        table = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes[index]
-        start = first[index]
+            self.learn(new)
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[index] if len(index) else np.zeros(0, np.int64)
+        start, n = self.first[place], self.first[place + 1] - self.first[place]
         at = np.concatenate(([0], np.cumsum(n)))
-        ids = table[np.repeat(start - at[:-1], n) + np.arange(at[-1])]
+        ids = self.table[np.repeat(start - at[:-1], n) + np.arange(at[-1])]
         return ids, at[np.concatenate(([0], np.cumsum(per)))]
 
 
+#: Of a worker, by vocabulary.
 _words: dict[str, Words] = {}
 
 
@@ -82,9 +99,13 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        w = _words.setdefault(vocabulary, Words(vocabulary)) if vocabulary not in _words else _words[vocabulary]
+        from tessera.llm import packing  # the worker's own module, which outlives the task
+
+        if vocabulary not in packing._words:
+            packing._words[vocabulary] = Words(vocabulary)
+        w = packing._words[vocabulary]
         for batch in batches:
-            for rows, _, _ in C.slices([batch]):
+            for rows, _, _ in C.slices([batch], limit=8 * C.SLICE):
                 ids, at = w.ids(pc.fill_null(rows.column("text"), ""))
                 n = np.diff(at) + 1
                 full = np.full(int(n.sum()), end, "<u4")

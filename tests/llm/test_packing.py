@@ -48,13 +48,18 @@ def first_fit(needs, capacity):
 
 def test_round_trip(spark):
     r = random.Random(5)
-    words = "The cat, ÉCOLE don't 12345 x_y naïve <|endoftext|> 日本語 á !!!  nb\tt".split(" ")
+    words = "The cat, ÉCOLE don't 12345 x_y naïve <|endoftext|> É. a.b.,c, ×. ÿ,, <|ENDOFTEXT|> 日本語 á !!!  nb\tt".split(" ")
     rows = [(0, None), (1, ""), (2, " \n "), (3, "word " * 9000), (4, "a\x1cb  c\rd")]
     rows += [(i, "".join(r.choice(words) + r.choice([" ", " ", "\n", "  "]) for _ in range(r.randrange(1, 900)))) for i in range(5, 120)]
     n, plain = check(rows, P.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert n <= plain
 
 
+def test_words_without_special_strings(spark):
+    rows = [(1, "The É. end, of.a U.S.A. thing,, o'Clock. 3,5 x.'s ×. ÿ, Ω. «a.» İI. " * 40), (2, "ends.\u0301 with, marks")]
+    check(rows, P.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
