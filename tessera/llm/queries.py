@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, fm_index, langid, media, minhash, packing, suffix_dedup, url_filter, warc
+from . import cdc, fm_index, langid, media, minhash, packing, site_style_tree, suffix_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op3_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns doc_id, n_bytes, n_repeated (chunks), n_removed (bytes), n_spans, kept_sha256."""
     return cdc.deduplicated(_table(spark, sf_dir, "documents")).drop("kept_text")
@@ -60,7 +64,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_salvage, op3_content_defined_chunks, op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op7_media_signatures, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_salvage, op2_site_style_tree, op3_content_defined_chunks, op4_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op7_media_signatures, op8_url_filter, op9_suffix_array_dedup, op10_minhash_near_dedup)}
 
 _URL = r"""
     with p as (
