@@ -82,20 +82,23 @@ def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
     component with map-side combine, and joins the components; there are O(log n) rounds.
     """
     e = kept(edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d").where("i <> j").distinct())
-    nodes = kept(e.select(F.col("i").alias("id")).union(e.select("j")).distinct())
-    label = nodes.select("id", F.col("id").alias("component"))
+    nodes = e.select(F.col("i").alias("id")).union(e.select("j")).distinct()
+    label = kept(nodes.select("id", F.col("id").alias("component")))
     chosen = None
     while True:
         a = label.select(F.col("id").alias("i"), F.col("component").alias("ci"))
         b = label.select(F.col("id").alias("j"), F.col("component").alias("cj"))
         open_ = kept(e.join(a, "i").join(b, "j").where("ci <> cj").select("i", "j", "d", "ci", "cj"))
-        both = open_.select("i", "j", "d", F.col("ci").alias("c")).union(open_.select("i", "j", "d", "cj"))
-        new = kept(both.groupBy("c").agg(F.min(F.struct("d", "i", "j")).alias("m")).select("m.i", "m.j", "m.d").distinct())
+        both = open_.select("i", "j", "d", "ci", "cj", F.col("ci").alias("c")).union(open_.select("i", "j", "d", "ci", "cj", "cj"))
+        new = kept(both.groupBy("c").agg(F.min(F.struct("d", "i", "j", "ci", "cj")).alias("m")).select("m.*").distinct())
         if new.isEmpty():
-            return chosen if chosen is not None else new
-        chosen = new if chosen is None else kept(chosen.unionByName(new))
+            return chosen if chosen is not None else new.select("i", "j", "d")
+        chosen = new.select("i", "j", "d") if chosen is None else chosen.unionByName(new.select("i", "j", "d"))
         e = open_.select("i", "j", "d")
-        label = kept(components(nodes, chosen))
+        # Only components are joined, which are at most half as many each round.
+        met = new.select(F.col("ci").alias("id")).union(new.select("cj")).distinct()
+        merged = components(met, new.select(F.col("ci").alias("i"), F.col("cj").alias("j"))).withColumnRenamed("component", "to").withColumnRenamed("id", "component")
+        label = kept(label.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
 def _distances(w: Weights, x: DataFrame, columns: list[str], distance_method: str) -> DataFrame:

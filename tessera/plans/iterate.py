@@ -24,15 +24,36 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Edges up to which components are finished on the driver; their size there is bounded by this.
+SMALL = 200_000
+
+
+def _finished(e: DataFrame) -> DataFrame:
+    """(id, component) of at most SMALL edges (u, v), by union-find."""
+    up: dict = {}
+
+    def root(i):
+        while (p := up.setdefault(i, i)) != i:
+            up[i] = i = up[p]
+        return i
+
+    for u, v in e.select("u", "v").collect():
+        u, v = root(u), root(v)
+        up[max(u, v)] = min(u, v)
+    kind = dict(e.dtypes)["u"]
+    return e.sparkSession.createDataFrame([(i, root(i)) for i in list(up)], f"id {kind}, component {kind}")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each node over edges (i, j), taken both ways.
 
     Large-star and small-star steps in turn until nothing changes: O(log n) rounds, each a
-    minimum per node with map-side combine and a join.
+    minimum per node with map-side combine and a join. What is left is finished on the
+    driver once it is small.
     """
     e = kept(edges.where("i <> j").select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct())
-    before = None
-    while True:
+    before, n = None, e.count()
+    while n > SMALL:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = kept(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
@@ -42,6 +63,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
-        before = now
-    found = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+        before, n = now, now[0]
+    found = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")) if n > SMALL else _finished(e)
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
