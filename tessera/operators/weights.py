@@ -53,6 +53,12 @@ def _met(parts: DataFrame, coords: list[str], eps: float) -> DataFrame:
     return out.select("i", "j").distinct()
 
 
+def _point_pairs(layer: DataFrame, rook: bool) -> DataFrame:
+    from .voronoi import adjacent
+
+    return adjacent(layer, rook)
+
+
 def _contiguity(layer: DataFrame, pairs: DataFrame, order: int, include_lower_order: bool) -> Weights:
     nodes = layer.select("id").distinct()
     first = pairs
@@ -75,15 +81,19 @@ def _checked(order: int, precision_threshold: float) -> None:
 
 
 def queen_weights(layer: DataFrame, order: int = 1, include_lower_order: bool = False, precision_threshold: float = 0.0) -> Weights:
-    """Polygons that share a vertex. order k: those k steps away (all up to k with include_lower_order)."""
+    """Polygons (or Voronoi cells of points) that share a vertex. order k: those k steps away (all up to k with include_lower_order)."""
     _checked(order, precision_threshold)
+    if "rings" not in layer.columns:
+        return _contiguity(layer, _point_pairs(layer, False), order, include_lower_order)
     v = layer.select("id", F.explode(F.flatten("rings")).alias("p")).select("id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
     return _contiguity(layer, _met(v, ["x", "y"], precision_threshold), order, include_lower_order)
 
 
 def rook_weights(layer: DataFrame, order: int = 1, include_lower_order: bool = False, precision_threshold: float = 0.0) -> Weights:
-    """Polygons that share an edge between two vertices."""
+    """Polygons (or Voronoi cells of points) that share an edge between two vertices."""
     _checked(order, precision_threshold)
+    if "rings" not in layer.columns:
+        return _contiguity(layer, _point_pairs(layer, True), order, include_lower_order)
     s = layer.select("id", F.explode(segments(F.col("rings"))).alias("s"))
     a, b = F.struct("s.x1", "s.y1"), F.struct(F.col("s.x2").alias("x1"), F.col("s.y2").alias("y1"))
     if precision_threshold:
@@ -143,8 +153,8 @@ def within(layer: DataFrame, reach: float, is_arc: bool = False, is_mile: bool =
     return out.where(F.col("d") <= reach)
 
 
-def nearest(layer: DataFrame, k: int, is_arc: bool = False, is_mile: bool = True, each: int = 4) -> DataFrame:
-    """(i, j, d, rank): the k nearest other points of each, ties by id.
+def nearest(layer: DataFrame, k: int, is_arc: bool = False, is_mile: bool = True, each: int = 4, only: DataFrame | None = None) -> DataFrame:
+    """(i, j, d, rank): the k nearest other points of each (or of the ids in only), ties by id.
 
     Points at one place are searched once, and of a place only its k + 1 smallest ids can be
     neighbours; so a place that very many rows share costs no more than others. Places
@@ -164,6 +174,9 @@ def nearest(layer: DataFrame, k: int, is_arc: bool = False, is_mile: bool = True
         return p.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
     wide = max(box[f"hi_{c}"] - box[f"lo_{c}"] for c in dims)
     size = wide / max(1.0, (box.n / each) ** 0.5) or 1.0
+    if only is not None:
+        p = kept(p.join(only.select("id"), "id", "left_semi"))
+        places = places.join(p.select(*dims).distinct(), dims, "left_semi")
     todo, done = _named(places, dims, "i", "a"), []
     there = _named(ids, dims, "j", "b")
     top = Window.partitionBy("i").orderBy("s", "j")

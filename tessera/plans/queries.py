@@ -145,6 +145,11 @@ def knn_weights_arc(spark, d):
     return W.knn_weights(L.part_globe(spark, d), 4, is_arc=True, is_mile=False).edges
 
 
+QUERIES["voronoi_queen"] = lambda spark, d: W.queen_weights(L.part_points(spark, d)).edges
+QUERIES["voronoi_rook"] = lambda spark, d: W.rook_weights(L.nation_grid(spark, d).select("id", "x", "y")).edges
+# Cells of points on a full grid are squares.
+SQL["voronoi_rook"] = sql_with(L.SQL["nation_grid"], edges("nation_grid", ROOK), select="select i, j, 1.0::double as w from e")
+
 _kernel = {"triangular": "1 - z", "uniform": "0.5::double", "epanechnikov": "0.75 * (1 - z * z)", "quartic": "15 / 16 * (1 - z * z) ** 2", "gaussian": "exp(-z * z / 2) / sqrt(2 * pi())"}
 _own = {"triangular": "1.0::double", "uniform": "0.5::double", "epanechnikov": "0.75::double", "quartic": "0.9375::double", "gaussian": "1 / sqrt(2 * pi())"}
 for _k, _f in _kernel.items():

@@ -238,6 +238,40 @@ def test_distance_against_brute_force(points):
             bad()
 
 
+def test_voronoi_contiguity(spark):
+    grid = [(y * 4 + x, float(x), float(y)) for y in range(4) for x in range(4)]
+    e = lambda w: {(r.i, r.j) for r in w.edges.collect()}
+    df = spark.createDataFrame(grid, "id long, x double, y double")
+    assert e(W.rook_weights(df)) == {(i, j) for i, x, y in grid for j, a, b in grid if abs(x - a) + abs(y - b) == 1}
+    assert e(W.queen_weights(df)) == {(i, j) for i, x, y in grid for j, a, b in grid if i != j and max(abs(x - a), abs(y - b)) == 1}
+    r = random.Random(5)
+    rows = [(i, r.random(), r.random() ** 3) for i in range(120)]
+    got = e(W.queen_weights(spark.createDataFrame([*rows, (500, *rows[7][1:])], "id long, x double, y double")))
+    pts = np.array([x[1:] for x in rows])
+    box = [*(pts.min(0) - 0.1 * np.ptp(pts, 0).max()), *(pts.max(0) + 0.1 * np.ptp(pts, 0).max())]
+    # Adjacent: some point of their bisector in the box is nearer to both than to all others.
+    want = set()
+    for i, j in itertools.combinations(range(120), 2):
+        mid, n = (pts[i] + pts[j]) / 2, pts[j] - pts[i]
+        way, lo, hi = np.array([-n[1], n[0]]), -1e9, 1e9
+        for q in [k for k in range(120) if k not in (i, j)]:
+            # |mid + t way - q| >= |mid + t way - pi|  is linear in t.
+            c = 2 * (way @ (pts[i] - pts[q]))
+            s = pts[i] @ pts[i] - pts[q] @ pts[q] - 2 * (mid @ (pts[i] - pts[q]))
+            if c > 0:
+                lo = max(lo, s / c)
+            elif c < 0:
+                hi = min(hi, s / c)
+        for d in range(2):
+            if way[d]:
+                a, b = sorted(((box[d] - mid[d]) / way[d], (box[d + 2] - mid[d]) / way[d]))
+                lo, hi = max(lo, a), min(hi, b)
+        if lo < hi:
+            want |= {(i, j), (j, i)}
+    twin = {(500 if i == 7 else i, 500 if j == 7 else j) for i, j in want} | {(7, 500), (500, 7)}
+    assert got == want | twin
+
+
 def test_precision_threshold(spark):
     square = lambda x, y: [[(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1), (x, y)]]
     rows = [(1, square(0.0, 0.0)), (2, square(1.004, 0.0)), (3, square(1.0, 1.0)), (4, square(9.0, 9.0))]
