@@ -60,7 +60,7 @@ def _point_pairs(layer: DataFrame, rook: bool) -> DataFrame:
 
 
 def _contiguity(layer: DataFrame, pairs: DataFrame, order: int, include_lower_order: bool) -> Weights:
-    nodes = layer.select("id").distinct()
+    nodes = layer.select("id")
     first = pairs
     if order > 1:
         first = kept(pairs)
@@ -221,12 +221,12 @@ def distance_weights(layer: DataFrame, dist_thres: float, power: float = 1.0, is
     """Points at most dist_thres apart, with weight 1 or d ** -power (1 at distance 0)."""
     if dist_thres <= 0:
         raise ValueError("dist_thres must be over 0")
-    return Weights(layer.select("id").distinct(), within(layer, dist_thres, is_arc, is_mile).select("i", "j", _weight(power, is_inverse).alias("w")))
+    return Weights(layer.select("id"), within(layer, dist_thres, is_arc, is_mile).select("i", "j", _weight(power, is_inverse).alias("w")))
 
 
 def knn_weights(layer: DataFrame, k: int, power: float = 1.0, is_inverse: bool = False, is_arc: bool = False, is_mile: bool = True) -> Weights:
     """Exactly the k nearest of each point (fewer only if there are fewer points)."""
-    return Weights(layer.select("id").distinct(), nearest(layer, k, is_arc, is_mile).select("i", "j", _weight(power, is_inverse).alias("w")))
+    return Weights(layer.select("id"), nearest(layer, k, is_arc, is_mile).select("i", "j", _weight(power, is_inverse).alias("w")))
 
 
 def kernel(z: Column, kind: str) -> Column:
@@ -256,7 +256,7 @@ def kernel_weights(layer: DataFrame, bandwidth: float, kernel_method: str, use_k
         raise ValueError("bandwidth must be over 0")
     d = F.when(F.col("d") > 0, F.pow("d", F.lit(-float(power)))).otherwise(0.0) if is_inverse else F.col("d")
     edges = within(layer, bandwidth, is_arc, is_mile).select("i", "j", kernel(d / bandwidth, kernel_method).alias("w"))
-    return _with_diagonal(layer.select("id").distinct(), edges, kernel_method, use_kernel_diagonals)
+    return _with_diagonal(layer.select("id"), edges, kernel_method, use_kernel_diagonals)
 
 
 def kernel_knn_weights(layer: DataFrame, k: int, kernel_method: str, adaptive_bandwidth: bool = True, use_kernel_diagonals: bool = False, power: float = 1.0, is_inverse: bool = False, is_arc: bool = False, is_mile: bool = True) -> Weights:
@@ -269,7 +269,7 @@ def kernel_knn_weights(layer: DataFrame, k: int, kernel_method: str, adaptive_ba
         near = near.crossJoin(F.broadcast(near.agg(F.max("d").alias("h"))))  # one row
     d = F.when(F.col("d") > 0, F.pow("d", F.lit(-float(power)))).otherwise(0.0) if is_inverse else F.col("d")
     z = F.coalesce(F.try_divide(d, F.col("h")), F.lit(0.0))
-    return _with_diagonal(layer.select("id").distinct(), near.select("i", "j", kernel(z, kernel_method).alias("w")), kernel_method, use_kernel_diagonals)
+    return _with_diagonal(layer.select("id"), near.select("i", "j", kernel(z, kernel_method).alias("w")), kernel_method, use_kernel_diagonals)
 
 
 # By hand.
