@@ -79,7 +79,7 @@ def records(b: bytes) -> Iterator[list]:
         yield row
 
 
-def geoda_open(spark: SparkSession, path: str) -> DataFrame:
+def open_shapefile(spark: SparkSession, path: str) -> DataFrame:
     """The layer of one .shp file and the .dbf beside it: id (1, 2 ...), its fields, rings."""
     if not isinstance(path, str):
         raise TypeError("the path must be a string")

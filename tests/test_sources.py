@@ -86,11 +86,11 @@ def test_shapefile(spark, tmp_path):
     other = [[(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)], [(1.2, 1.1), (1.3, 1.1), (1.2, 1.2), (1.2, 1.1)]]
     (tmp_path / "m.shp").write_bytes(shp([square, other, None]))
     (tmp_path / "m.dbf").write_bytes(dbf([("NAME", "C", 6, 0), ("N", "N", 8, 0), ("X", "N", 10, 3)], [("a", 1, "1.500"), ("b", None, "-2.250"), (None, 7, None)]))
-    layer = shapefile.geoda_open(spark, str(tmp_path / "m.shp"))
+    layer = shapefile.open_shapefile(spark, str(tmp_path / "m.shp"))
     got = layer.orderBy("id").collect()
     assert [(r.id, r.NAME, r.N, r.X) for r in got] == [(1, "a", 1, 1.5), (2, "b", None, -2.25), (3, None, 7, None)]
     assert [r.rings and [[tuple(p) for p in ring] for ring in r.rings] for r in got] == [square, other, None]
     assert {(r.field, r.type) for r in wkb.layer_info(layer).collect()} == {("id", "integer"), ("NAME", "string"), ("N", "integer"), ("X", "real")}
     assert {tuple(r)[:2] for r in W.queen_weights(layer).edges.collect()} == {(1, 2), (2, 1)}
     with pytest.raises(TypeError):
-        shapefile.geoda_open(spark, 5)
+        shapefile.open_shapefile(spark, 5)
