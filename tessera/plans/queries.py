@@ -596,6 +596,20 @@ QUERIES["make_spatial"] = _nations(lambda x, w: clustering.make_spatial(_regions
 QUERIES["minimum_spanning_tree"] = lambda spark, d: clustering.minimum_spanning_tree(clustering._distances(customer_queen(spark, d)[1], _customers(spark, d).select("id", "value"), ["value"], "euclidean"))
 
 
+def _tree_links(spark: SparkSession, d: str) -> DataFrame:
+    layer, w = nation_queen(spark, d)
+    return clustering._distances(w, layer.select("id", "value"), ["value"], "euclidean")
+
+
+# A link is in the tree if its ends aren't connected by smaller links.
+QUERIES["minimum_spanning_tree_small"] = lambda spark, d: clustering.minimum_spanning_tree(_tree_links(spark, d))
+SQL["minimum_spanning_tree_small"] = _recursive(
+    *NATION, "und as (select e.i, e.j, abs(a.value - b.value) as d from e join nation_grid a on a.id = e.i join nation_grid b on b.id = e.j where e.i < e.j)",
+    "walk as (select i as ei, j as ej, d, i as node from und union select w.ei, w.ej, w.d, case when v.i = w.node then v.j else v.i end from walk w join und v on w.node in (v.i, v.j) and (v.d < w.d or v.d = w.d and (v.i < w.ei or v.i = w.ei and v.j < w.ej)))",
+    select="select i, j, d from und where not exists (select 1 from walk where ei = i and ej = j and node = j)",
+)
+
+
 @query(sql_with(L.SQL["customer_grid"], select="select 'clusters' as measure, count(distinct segment)::double as value from customer_grid union all select 'constrained', 0.0"))
 def spatial_validation(spark, d):
     layer, w = customer_queen(spark, d)
