@@ -2,7 +2,7 @@
 
 A gear rolling hash over the last 32 bytes, h = (h << 1) + word(byte), is taken for every
 byte; where its top bits are zero a chunk may end. A chunk has at least LEAST bytes (but for
-a text's last) and at most MOST. Ends depend on nearby bytes only, so after an insertion
+a text's last; its first, SEEN) and at most MOST. Ends depend on nearby bytes only, so after an insertion
 chunks fall into step again.
 
 Chunks are deduplicated by a 128-bit digest. A chunk is repeated if its digest occurs in
@@ -11,7 +11,8 @@ agreement of short chunks alone, repeated chunks count only in runs, side by sid
 least RUN bytes.
 
 A null text is empty and has no chunk. Rows with the same doc_id should not differ; if a
-row is repeated its chunks have the same place and so are one occurrence.
+row is repeated its chunks have the same place and so are one occurrence. A row with a null
+doc_id is no document: it keeps its bytes and is nobody's other place.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
-LEAST, AVERAGE_BITS, MOST, RUN = 32, 6, 512, 96
+LEAST, AVERAGE_BITS, MOST, RUN = 16, 5, 256, 96
+#: Bytes that the rolling hash sees; no chunk ends nearer to its text's start by the hash.
+SEEN = 32
 GEAR = (C.BYTE_WORD >> C.U(32)).astype(np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
     """The rolling hash at each byte, by doubling: the hash of 2k bytes is that of the last k plus the shifted hash of the k before."""
     h, k = GEAR[data], 1
-    while k < 32 and k < len(h):
+    while k < SEEN and k < len(h):
         shifted = h[:-k] << np.uint32(k)
         h = h.copy()
         h[k:] += shifted
@@ -43,12 +46,11 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def ends(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, end) of each chunk, end as a place in data."""
-    # The hash is of 32 bytes and LEAST is no less, so it never sees the row before.
     h = gear(data)
     cut = h >> np.uint32(32 - AVERAGE_BITS) == 0
     at = np.flatnonzero(cut)
     row = np.searchsorted(offs, at, "right") - 1
-    good = at - offs[row] >= LEAST - 1
+    good = at - offs[row] >= SEEN - 1  # so that it never sees the row before
     at, row = at[good] + 1, row[good]
     first = np.searchsorted(row, np.arange(len(offs)))
     at_list, rows, out = at.tolist(), [], []
@@ -89,7 +91,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "start", "n", "hi", "lo"],
             )
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null and doc_id is not null")
     return slim.mapInArrow(run, "doc_id long, start long, n int, hi long, lo long")
 
 

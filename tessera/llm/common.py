@@ -8,7 +8,6 @@ memory follows the slice (or the single longest document), never the partition.
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SLICE = 1 << 20
+from ..plans.iterate import scratch
+
+SLICE = 1 << 18
 ROWS_A_BATCH = 1024
 
 U = np.uint64
@@ -33,14 +34,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a temporary one."""
-    if not (d := spark.conf.get("spark.checkpoint.dir", None)):
-        d = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
 def kept(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -49,6 +42,18 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replaced(docs: DataFrame, new: DataFrame) -> DataFrame:
+    """docs with the text of new (doc_id, text) for the documents in it; all other rows and columns as they are.
+
+    A null doc_id is in no table. The names that the join needs are none of docs.
+    """
+    names = [f"_{uuid.uuid4().hex}" for _ in range(2)]
+    new = new.select(F.col("doc_id").alias(names[0]), F.col("text").alias(names[1])).where(F.col(names[0]).isNotNull()).dropDuplicates([names[0]])
+    joined = docs.join(new, docs["doc_id"] == new[names[0]], "left")
+    text = F.when(F.col(names[0]).isNull(), docs["text"]).otherwise(F.col(names[1])).alias("text")
+    return joined.select(*(text if c == "text" else docs[c] for c in docs.columns))
+
+
 def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column (null: empty) and the n + 1 offsets of its rows."""
     if isinstance(col, pa.ChunkedArray):
@@ -143,10 +148,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # Written, so that the join has two plain exchanges, whose skewed partitions Spark splits.
+        low = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = kept(large.where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.u", "x.v")
         nxt = kept(small.where("u <> v").distinct())
         now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -15,8 +15,9 @@ searched backward together, word by word. Occurrences are located by walking to
 sampled suffix positions, words there are compared with the phrase's bytes' hashes, and
 overlapping spans are merged per document.
 
-Null texts and items have no words; items without words have no phrase. Repeated rows
-are documents of their own; item ids are compared as strings.
+Null texts have no words; an item without words has no phrase, one without an id is no item. Repeated rows
+are documents of their own; item ids are compared as strings. A row with a null doc_id is
+counted like others; the stage leaves its text as it is.
 """
 
 from __future__ import annotations
@@ -345,11 +346,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the bytes from the first to the last word of each merged span; texts without a span stay as they are."""
-    spans = found(docs, benchmark, window, spans=True).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("bytes").alias("_cut")).dropDuplicates(["_id"])
-    joined = docs.join(spans, docs["doc_id"] == F.col("_id"), "left")
-    # Bytes between the spans: from each span's end to the next one's start.
-    raw = F.encode("text", "utf-8")
-    cut = F.expr("transform(sequence(0, size(_cut)), i -> struct(if(i = 0, 0L, _cut[i - 1].b) as a, if(i = size(_cut), cast(octet_length(text) as bigint), _cut[i].a) as b))")
-    keep = joined.withColumn("_raw", raw).withColumn("_keep", cut)
-    rest = F.expr("decode(aggregate(_keep, cast('' as binary), (s, x) -> concat(s, substring(_raw, cast(x.a + 1 as int), cast(x.b - x.a as int)))), 'utf-8')")
-    return keep.withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    spans = found(docs, benchmark, window, spans=True).where("n_hit > 0").select(F.col("doc_id").alias("id"), F.col("bytes").alias("cut")).dropDuplicates(["id"])
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, F.col("doc_id") == F.col("id"))
+    # The bytes between the spans: from each one's end to the next one's start.
+    raw = slim.select("doc_id", F.encode("text", "utf-8").alias("raw"), F.expr("transform(sequence(0, size(cut)), i -> struct(if(i = 0, 0L, cut[i - 1].b) as a, if(i = size(cut), cast(octet_length(text) as bigint), cut[i].a) as b))").alias("keep"))
+    rest = F.expr("decode(aggregate(keep, cast('' as binary), (s, x) -> concat(s, substring(raw, cast(x.a + 1 as int), cast(x.b - x.a as int)))), 'utf-8')")
+    return C.replaced(docs, raw.select("doc_id", rest.alias("text")))

@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
             packing._words[vocabulary] = Words(vocabulary)
         w = packing._words[vocabulary]
         for batch in batches:
-            for rows, _, _ in C.slices([batch], limit=8 * C.SLICE):
+            for rows, _, _ in C.slices([batch], limit=8 << 20):
                 ids, at = w.ids(pc.fill_null(rows.column("text"), ""))
                 n = np.diff(at) + 1
                 full = np.full(int(n.sum()), end, "<u4")

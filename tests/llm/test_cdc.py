@@ -14,7 +14,7 @@ def plain_chunks(b):
     for i, c in enumerate(b):
         h = ((h << 1) + G[c]) & 0xFFFFFFFF
         n = i + 1 - last
-        if n == D.MOST or n >= D.LEAST and h >> (32 - D.AVERAGE_BITS) == 0:
+        if n == D.MOST or n >= D.LEAST and i >= D.SEEN - 1 and h >> (32 - D.AVERAGE_BITS) == 0:
             out.append((last, i + 1))
             last = i + 1
     return out + [(last, len(b))] * (last < len(b))
