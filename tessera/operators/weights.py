@@ -85,7 +85,9 @@ def queen_weights(layer: DataFrame, order: int = 1, include_lower_order: bool =
     _checked(order, precision_threshold)
     if "rings" not in layer.columns:
         return _contiguity(layer, _point_pairs(layer, False), order, include_lower_order)
-    v = layer.select("id", F.explode(F.flatten("rings")).alias("p")).select("id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).distinct()
+    # A vertex once per polygon, without a shuffle; -0.0 is 0.0.
+    own = F.array_distinct(F.transform(F.flatten("rings"), lambda p: F.struct((p.x + F.lit(0.0)).alias("x"), (p.y + F.lit(0.0)).alias("y"))))
+    v = layer.select("id", F.explode(own).alias("p")).select("id", "p.x", "p.y")
     return _contiguity(layer, _met(v, ["x", "y"], precision_threshold), order, include_lower_order)
 
 
@@ -94,14 +96,15 @@ def rook_weights(layer: DataFrame, order: int = 1, include_lower_order: bool = F
     _checked(order, precision_threshold)
     if "rings" not in layer.columns:
         return _contiguity(layer, _point_pairs(layer, True), order, include_lower_order)
-    s = layer.select("id", F.explode(segments(F.col("rings"))).alias("s"))
-    a, b = F.struct("s.x1", "s.y1"), F.struct(F.col("s.x2").alias("x1"), F.col("s.y2").alias("y1"))
+    end = lambda s, k: F.struct((s[f"x{k}"] + F.lit(0.0)).alias("x"), (s[f"y{k}"] + F.lit(0.0)).alias("y"))
+    ends = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     if precision_threshold:
-        both = s.select("id", F.col("s.x1").alias("x1"), F.col("s.y1").alias("y1"), F.col("s.x2").alias("x2"), F.col("s.y2").alias("y2"))
-        both = both.unionByName(both.select("id", F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))
+        # Which end of an edge comes first can differ within the tolerance, so both ways are sent.
+        own = F.flatten(F.transform(segments(F.col("rings")), lambda s: F.array(ends(end(s, 1), end(s, 2)), ends(end(s, 2), end(s, 1)))))
     else:
-        both = s.select("id", F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).select("id", F.col("a.x1").alias("x1"), F.col("a.y1").alias("y1"), F.col("b.x1").alias("x2"), F.col("b.y1").alias("y2"))
-    return _contiguity(layer, _met(both.distinct(), ["x1", "y1", "x2", "y2"], precision_threshold), order, include_lower_order)
+        own = F.transform(segments(F.col("rings")), lambda s: ends(F.least(end(s, 1), end(s, 2)), F.greatest(end(s, 1), end(s, 2))))
+    both = layer.select("id", F.explode(F.array_distinct(own)).alias("s")).select("id", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+    return _contiguity(layer, _met(both, ["x1", "y1", "x2", "y2"], precision_threshold), order, include_lower_order)
 
 
 # Distance.
