@@ -18,7 +18,8 @@ sorted shingle set, bands of full minima and a b-bit signature. Then:
 With 32 bands of 6 minima, a pair at exactly 0.85 shares no band with probability 3e-7.
 
 Nulls, empty texts and texts without a word have an empty set and are linked with
-nothing. Repeated doc_ids count as one document whose rows are all returned.
+nothing. Repeated rows count as one document and are all returned; doc_id should be unique
+otherwise. A row with a null doc_id is no document: it has no component and is not kept.
 """
 
 from __future__ import annotations
@@ -319,19 +320,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     C.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = C.kept(signed(docs))
-    full = every.where("n_shingles > 0")
+    full = every.where("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     alone = full.join(reps, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     banded = alone.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", "key")
-    crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1")
+    crowded = C.kept(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
     met = C.kept(banded.join(crowded, "key"))
     block = F.when(F.col("n") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)))
     tied = met.where(f"n > {BLOCK}").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     sigs = full.select("doc_id", "sig").join(met.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     buckets = met.where(f"n <= {BLOCK}").select("doc_id", "key", block.cast("long").alias("block")).join(sigs, "doc_id")
     groups = C.kept(C.components(coarse(buckets, percent).unionByName(tied)).withColumnRenamed("id", "doc_id"))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sets = C.kept(shingled(docs.join(groups.join(sizes, "component"), "doc_id").dropDuplicates(["doc_id"])))
+    # Written, so that joins on a component have plain exchanges, whose skewed partitions Spark splits.
+    sizes = C.kept(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}"))
+    groups = groups.join(sizes, "component", "left").select("doc_id", "component", F.coalesce("n", F.lit(1)).alias("n"))
+    sets = C.kept(shingled(docs.join(groups, "doc_id").dropDuplicates(["doc_id"])))
     blocks = F.ceil(F.col("n") / BLOCK)
     sets = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
     inside = confirmed(sets.select(F.xxhash64("component", "block").alias("unit"), F.lit(0).alias("part"), "doc_id", F.col("doc_id").alias("class"), "shingles"), percent)
@@ -341,9 +344,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         classes = C.components(links).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "class")
         large = C.kept(large.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")))
         held = large.groupBy("component", "class").agg(F.count(F.lit(1)).alias("m"))
-        main = held.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("main"))
+        main = C.kept(held.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("main")))
         strays = large.join(main, "component").where("class <> main")
-        many = strays.groupBy("component").agg(F.count(F.lit(1)).alias("strays"))
+        many = C.kept(strays.groupBy("component").agg(F.count(F.lit(1)).alias("strays")))
         strays = strays.join(many, "component").withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.ceil(F.col("strays") / STRAYS)))
         unit = F.xxhash64("component", "block", "lot").alias("unit")
         here = large.join(many, "component").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("strays") / STRAYS) - 1)))
@@ -352,7 +355,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         units = here.select(unit, F.lit(1).alias("part"), *shape).unionByName(there.select(unit, F.lit(0).alias("part"), *shape))
         links = links.unionByName(C.kept(confirmed(units, percent)))
     found = C.components(links).withColumnRenamed("id", "rep")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    classes = C.kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
     out = every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

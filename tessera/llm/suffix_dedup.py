@@ -15,12 +15,15 @@ sort, so they are dealt by content:
    comparison finds the common extension by binary search over prefix hashes, in 8 probes.
    Neighbours with an extension of at least `length` are compared byte by byte before
    their windows count as repeated.
-4. Anchors met over HOT times would fill one task. Their windows are dealt by their own
-   digest of two independent 64-bit hashes, once per document, and counted with
-   partial aggregation; a digest met twice is a repeat.
+4. Anchors met over HOT times would fill one task. Their runs are split into blocks of up to STEP
+   windows at fixed distances from the anchor, and blocks are counted by a digest of two
+   independent 64-bit hashes, with partial aggregation: a block met twice is repeated as a
+   whole. All windows of a block share an inner stretch; only blocks whose inner stretch also
+   stands in a different block are looked at window by window, counted by digest likewise.
 
 A null text is empty. Texts shorter than `length` keep all bytes. Repeated rows are
-copies of each other like any other rows with equal texts; doc_id should be unique.
+copies of each other like any other rows with equal texts; doc_id should be unique. A
+row with a null doc_id is no document: it keeps its bytes and is nobody's other place.
 """
 
 from __future__ import annotations
@@ -35,11 +38,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as C
 from .minhash import _groups
 
-LENGTH, GRAM, HOT = 200, 64, 64
+#: STEP is about the square root of a run's mean length, where blocks and single windows are as many.
+LENGTH, GRAM, HOT, STEP = 200, 64, 64, 8
 #: Bytes of pieces that one sort holds; a group has at most HOT pieces of under 2 * LENGTH bytes.
 BUNDLE = 1 << 20
 PLACE = 24
-SEGMENT = 1 << 23
+SEGMENT = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -220,17 +224,18 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum())) if len(count) else np.zeros(0, np.int64)
 
 
-PIECES = "route long, check long, doc_id long, place long, ahead int, piece binary"
+PIECES = "route long, check long, doc_id long, place long, ahead int, piece binary, inner1 long, inner2 long, w1 array<long>, w2 array<long>"
 
 
 def pieces(candidates: DataFrame, length: int) -> DataFrame:
     """Rows of three kinds from documents with candidate anchors.
 
-    With a piece: a stretch of windows to be sorted. Without, and ahead 0: a window of an
-    anchor that is too common (route and check are its digest); ahead -1: the same where it
-    is known to be repeated; ahead -2: place packs a span known to be repeated within the document.
+    With a piece: a stretch of windows to be sorted. Without, and ahead 0: a block of windows of
+    an anchor that is too common (route and check are its digest, inner1 and inner2 that of its
+    inner stretch, w1 and w2 those of its windows); ahead -1: the same where it stands in the
+    document more than once; ahead -2: place packs a span known to be repeated within the document.
     """
-    second = C.mix(C.BYTE_WORD ^ C.U(0x5851F42D4C957F2D)) | C.U(1)
+    second, other = C.mix(C.BYTE_WORD ^ C.U(0x5851F42D4C957F2D)) | C.U(1), C.BASE ^ 0x1234567890ABCDE0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.slices(batches):
@@ -248,8 +253,11 @@ def pieces(candidates: DataFrame, length: int) -> DataFrame:
             seg = first + count - 1 + length
             out = []
 
-            def put(route, check, who, place, ahead, piece):
-                out.append(pa.RecordBatch.from_arrays([pa.array(route), pa.array(check), pa.array(who), pa.array(place), pa.array(ahead.astype(np.int32)), piece], names=["route", "check", "doc_id", "place", "ahead", "piece"]))
+            def put(route, check, who, place, ahead, piece, inner1=None, inner2=None, w1=None, w2=None):
+                none = [pa.nulls(len(route), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+                extra = [n if x is None else x for x, n in zip((inner1, inner2, w1, w2), none, strict=True)]
+                names = [x.split()[0] for x in PIECES.split(", ")]
+                out.append(pa.RecordBatch.from_arrays([pa.array(route), pa.array(check), pa.array(who), pa.array(place), pa.array(ahead.astype(np.int32)), piece, *extra], names=names))
 
             spans = []
             sort = np.flatnonzero(n <= HOT)
@@ -269,27 +277,37 @@ def pieces(candidates: DataFrame, length: int) -> DataFrame:
                 put(g[one], np.zeros(len(one), np.int64), ids[row[one]], first[one] - offs[row[one]], a[one], piece)
             hot = np.flatnonzero(n > HOT)
             if len(hot):
-                s = np.unique(ranges(first[hot], count[hot]))
-                r = np.searchsorted(offs, s, "right") - 1
-                w1 = C.span_hashes(h, s, s + length)
                 h2 = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(second[data] * C.powers(C.BASE ^ 0x1234567890ABCDE0, len(data)), out=h2[1:])
-                inv = pow(C.BASE ^ 0x1234567890ABCDE0, -1, 1 << 64)
-                w2 = C.mix((h2[s + length] - h2[s]) * C.powers(inv, len(h2))[s])
-                order = np.lexsort((s, w2, w1, r))
+                np.cumsum(second[data] * C.powers(other, len(data)), out=h2[1:])
+                back = C.powers(pow(other, -1, 1 << 64), len(h2))
+                digests = lambda x, y, salt: (C.mix(C.span_hashes(h, x, y) + salt).view(np.int64), C.mix(C.mix((h2[y] - h2[x]) * back[x]) + salt).view(np.int64))
+                s = ranges(first[hot], count[hot])
+                owner = np.repeat(hot, count[hot])
+                anchor = (p + offs[row])[owner]
+                q = (anchor - s) // STEP
+                new = np.ones(len(s), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (q[1:] != q[:-1])
+                lo = np.flatnonzero(new)
+                hi = np.concatenate((lo[1:], [len(s)]))
+                w1, w2 = digests(s, s + length, C.U(0))
+                x, y = s[lo], s[hi - 1] + length
+                salt = g[owner[lo]].view(np.uint64) + q[lo].astype(np.uint64)
+                f1, f2 = digests(x, y, salt + ((anchor[lo] - x) % STEP * STEP + hi - lo).astype(np.uint64) * C.U(0x9E3779B97F4A7C15))
+                inner = anchor[lo] - q[lo] * STEP
+                i1, i2 = digests(inner, inner + length - STEP + 1, salt)
+                r = row[owner[lo]]
+                order = np.lexsort((x, f2, f1, r))
                 new = np.ones(len(order), bool)
-                new[1:] = (r[order[1:]] != r[order[:-1]]) | (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])
+                new[1:] = (r[order[1:]] != r[order[:-1]]) | (f1[order[1:]] != f1[order[:-1]]) | (f2[order[1:]] != f2[order[:-1]])
                 lot = np.cumsum(new) - 1
                 many = np.bincount(lot)[lot] > 1
-                twice = np.sort(order[many])
-                flag = np.zeros(len(data) + 1, bool)
-                flag[s[twice]] = True
-                owner = np.zeros(len(data) + 1, np.int64)
-                owner[s] = r
-                x, y = runs(flag, owner)
-                spans.append((owner[x], x, y + length))
+                twice = order[many]
+                spans.append((r[twice], x[twice], y[twice]))
                 one = order[new]
-                put(w1[one].view(np.int64), w2[one].view(np.int64), ids[r[one]], s[one] - offs[r[one]], np.where(many[new], -1, 0), pa.nulls(len(one), pa.binary()))
+                at_ = pa.array(np.concatenate(([0], hi)), pa.int32())
+                pick = pa.array(one)
+                lists = [pa.ListArray.from_arrays(at_, pa.array(w)).take(pick) for w in (w1, w2)]
+                put(f1[one], f2[one], ids[r[one]], x[one] - offs[r[one]], np.where(many[new], -1, 0), pa.nulls(len(one), pa.binary()), pa.array(i1[one]), pa.array(i2[one]), *lists)
             for r, x, y in spans:
                 if len(r):
                     put(x * 0, x * 0, ids[r], (x - offs[r]) << 24 | np.minimum(y - x, (1 << 24) - 1), np.full(len(r), -2), pa.nulls(len(r), pa.binary()))
@@ -346,12 +364,12 @@ def merged(start: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(whole, part): doc_id of texts that occur more than once and are removed whole; and doc_id, text (binary) and spans (place, n) of the others with a repeat."""
     C.small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
     slim = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    met = slim.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    met = C.kept(slim.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    # Counts are written before they are joined, so that the join has two plain exchanges, whose skewed partitions Spark splits.
     whole = C.kept(slim.join(met, "digest").select("doc_id", "rep", "copies"))
     every = C.kept(anchored(docs, length, gram))
-    # Written, so that the join has two plain exchanges, whose skewed partitions Spark splits.
     common = C.kept(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     marks = every.join(common, "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h")).alias("marks"))
     marks = marks.join(whole, "doc_id", "left").where("rep is null or rep = doc_id").select("doc_id", "marks", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
@@ -359,9 +377,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     found = C.kept(pieces(candidates, length))
     spans = sorted_spans(found.where("piece is not null"), length)
     own = found.where("ahead = -2").select("doc_id", F.shiftright("place", 24).alias("place"), F.col("place").bitwiseAND((1 << 24) - 1).alias("n"))
-    hot = found.where("piece is null and ahead > -2").select("route", "check", "doc_id", "place", "ahead")
-    twice = C.kept(hot.groupBy("route", "check").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("route", "check"))
-    far = hot.where("ahead = 0").join(twice, ["route", "check"]).select("doc_id", "place", F.lit(length).cast("long").alias("n"))
+    blocks = found.where("piece is null and ahead > -2")
+    met = blocks.groupBy("route", "check").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = C.kept(met.select("route", "check"))
+    far = blocks.where("ahead = 0").select("route", "check", "doc_id", "place", F.size("w1").alias("k")).join(met, ["route", "check"])
+    far = far.select("doc_id", "place", (F.col("k") + (length - 1)).cast("long").alias("n"))
+    full = F.struct("route", "check")
+    mixed = blocks.groupBy("inner1", "inner2").agg(F.min(full).alias("low"), F.max(full).alias("high")).where("low <> high")
+    mixed = C.kept(mixed.select("inner1", "inner2"))
+    lists = F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w")
+    mixed = C.kept(blocks.select("inner1", "inner2", "route", "check", "doc_id", "place", "ahead", "w1", "w2").join(mixed, ["inner1", "inner2"]))
+    # Each different block counts once, or twice if it stands in two places; only blocks that aren't repeated as a whole are looked up.
+    one = mixed.groupBy("route", "check").agg(F.any_value("w1").alias("w1"), F.any_value("w2").alias("w2"), F.sum(1 - F.col("ahead")).alias("k"))
+    one = one.select(F.least("k", F.lit(2)).alias("times"), lists).groupBy("w.w1", "w.w2").agg(F.sum("times").alias("times"))
+    twice = C.kept(one.where("times > 1").select("w1", "w2"))
+    rest = mixed.where("ahead = 0").join(met, ["route", "check"], "left_anti").select("doc_id", "place", lists)
+    near = rest.select("doc_id", (F.col("place") + F.col("k")).alias("place"), "w.w1", "w.w2").join(twice, ["w1", "w2"]).select("doc_id", "place", F.lit(length).cast("long").alias("n"))
+    far = far.unionByName(near)
     all_spans = spans.unionByName(own).unionByName(far).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
     part = candidates.where("copies = 1").select("doc_id", "text").join(all_spans, "doc_id")
     return whole.select("doc_id"), part
@@ -409,6 +441,4 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the repeated bytes out of text (bytes of a character that was cut through go too)."""
-    new = cuts(docs, length, gram, texts=True).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
-    joined = docs.join(new, docs["doc_id"] == F.col("_id"), "left")
-    return joined.withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_kept"))).select(*docs.columns)
+    return C.replaced(docs, cuts(docs, length, gram, texts=True).select("doc_id", F.col("kept_text").alias("text")))
