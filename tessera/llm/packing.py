@@ -34,7 +34,9 @@ from . import common as C
 CAPACITY, OPEN, END = 2048, 4096, 0
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a worker remembers, over all its tasks; when full it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Plain words that are encoded as one line; the tokens that end a word tell them apart again.
+LINE = 256
 #: Pieces that one task packs, at the least; with fewer in all, one task has them.
 EACH = 4000
 
@@ -51,24 +53,54 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        own = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(own.values()) + 1, bool)
+        self.ends[[i for w, i in own.items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.table, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.table = np.concatenate((self.table, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(size)))
-        self.known |= zip(new, range(len(self.known), len(self.known) + len(new)), strict=True)
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts, end to end, and the n + 1 offsets of the texts."""
-        texts = texts.cast(pa.large_string())
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(texts)
+        """Words of lower-case Latin letters only are one token run each, which ends with an end token."""
+        plain = np.asarray(pc.match_substring_regex(pa.array(new, pa.string()), "^[a-zà-öø-ÿ]+$"))
+        words = [new[i] for i in np.flatnonzero(plain)]
+        lines = [words[a : a + LINE] for a in range(0, len(words), LINE)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+        for line, e in zip(lines, encoded, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(line) and stop[-1] == len(ids):
+                self.add(line, ids, stop)
+            else:
+                self.learn_each(line)
+        self.learn_each([new[i] for i in np.flatnonzero(~plain)])
+
+    def learn_each(self, new: list[str]) -> None:
+        if new:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.add(new, np.array([i for x in lists for i in x], np.uint32), np.cumsum([len(x) for x in lists]))
+
+    def add(self, words: list[str], ids: np.ndarray, stop: np.ndarray) -> None:
+        self.known |= zip(words, range(len(self.known), len(self.known) + len(words)), strict=True)
+        self.waiting.append((ids, stop))
+
+    def settle(self) -> None:
+        """Put what was learned behind the tables, at once."""
+        if self.waiting:
+            base = self.first[-1] + np.concatenate(([0], np.cumsum([len(i) for i, _ in self.waiting])))
+            self.table = np.concatenate((self.table, *(i for i, _ in self.waiting)))
+            self.first = np.concatenate((self.first, *(s + b for (_, s), b in zip(self.waiting, base, strict=False))))
+            self.waiting = []
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8 bytes and offsets), end to end, and the n + 1 offsets of the texts."""
+        if b"<|" not in data.tobytes():
+            data = C.LOWER[data]
+        # A fresh array: some string kernels of Arrow misread slices of one.
+        texts = C.binaries(data, offs).cast(pa.large_binary()).cast(pa.large_string())
         apart = pc.replace_substring_regex(texts, r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])", r"\1 \2")
         words = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
         per = np.asarray(words.value_lengths())
@@ -80,6 +112,7 @@ class Words:
             new = distinct
         if new:
             self.learn(new)
+            self.settle()
         place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[index] if len(index) else np.zeros(0, np.int64)
         start, n = self.first[place], self.first[place + 1] - self.first[place]
         at = np.concatenate(([0], np.cumsum(n)))
@@ -105,8 +138,8 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
             packing._words[vocabulary] = Words(vocabulary)
         w = packing._words[vocabulary]
         for batch in batches:
-            for rows, _, _ in C.slices([batch], limit=8 << 20):
-                ids, at = w.ids(pc.fill_null(rows.column("text"), ""))
+            for rows, data, offs in C.slices([batch], limit=8 << 20):
+                ids, at = w.ids(data, offs)
                 n = np.diff(at) + 1
                 full = np.full(int(n.sum()), end, "<u4")
                 base = np.concatenate(([0], np.cumsum(n)))

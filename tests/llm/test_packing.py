@@ -3,10 +3,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import packing as P
+from tessera.llm import common as C, packing as P
 
 T = Tokenizer.from_file(P.VOCABULARY)
 
@@ -60,6 +61,17 @@ def test_words_without_special_strings(spark):
     check(rows, P.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_slices_of_a_batch():
+    r = random.Random(2)
+    texts = ["".join(r.choice(["É", "ß.", "The ", " ", "ÿ,", "x", "日", "\n", "Ab. "]) for _ in range(r.randrange(80))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None, ""])], names=["text"])
+    w, got = P.Words(P.VOCABULARY), []
+    for _, data, offs in C.slices([batch.slice(1)], limit=500):
+        x, at = w.ids(data, offs)
+        got += [x[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert got == [ids(t)[:-1] for t in [*texts[1:], None, ""]]
+
+
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
