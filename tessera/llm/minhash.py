@@ -93,7 +93,7 @@ def packed(least: np.ndarray, bits: int = BITS) -> np.ndarray:
     weight = C.U(1) << np.arange(64, dtype=np.uint64)
     for b in range(bits):
         plane = (low >> C.U(b)) & C.U(1)
-        out[:, b] = (plane.reshape(len(least), -1, 64) * weight).sum(2, dtype=np.uint64)
+        out[:, b] = (plane.reshape(len(least), MINIMA // 64, 64) * weight).sum(2, dtype=np.uint64)
     return out
 
 
@@ -128,7 +128,8 @@ def signed(docs: DataFrame) -> DataFrame:
             n = np.diff(so)
             have = np.flatnonzero(n)
             least = minima(s, so)
-            sig = packed(least).reshape(len(have), -1).view(np.uint8).reshape(len(have), -1)
+            wide = MINIMA * BITS // 8
+            sig = packed(least).view(np.uint8).reshape(len(have), wide)
             keys = np.zeros((len(have), BANDS), np.uint64)
             for r in range(ROWS):
                 keys = C.mix(keys * C.U(0x9E3779B97F4A7C15) + least[:, r::ROWS] + C.U(r + 1))
@@ -138,9 +139,8 @@ def signed(docs: DataFrame) -> DataFrame:
             if len(have):
                 digest[have, 0] = C.mix(np.add.reduceat(C.mix(s + C.U(1)), start) + n[have].astype(np.uint64))
                 digest[have, 1] = np.add.reduceat(C.mix(s ^ C.U(0xA5A5A5A5A5A5A5A5)), start)
-            signature = np.zeros((len(n), sig.shape[1] if len(have) else MINIMA * BITS // 8), np.uint8)
+            signature = np.zeros((len(n), wide), np.uint8)
             signature[have] = sig
-            wide = signature.shape[1]
             full = np.where(n > 0, BANDS, 0)
             yield pa.RecordBatch.from_arrays(
                 [

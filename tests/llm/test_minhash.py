@@ -56,5 +56,11 @@ def test_large_groups_split_into_blocks(spark, monkeypatch):
     assert run(spark, data) == brute(data)
 
 
+def test_slices_without_a_shingle(spark):
+    data = [(i, None if i % 2 else " ") for i in range(9)] + [(9, "a b c d e f")]
+    assert run(spark, data) == brute(data)
+    assert run(spark, data[:9]) == brute(data[:9])
+
+
 def test_empty_table(spark):
     assert run(spark, []) == set()
