@@ -14,6 +14,8 @@ from tessera.llm import common, fm_index, langid, minhash, packing, suffix_dedup
 
 #: A document goes if its pooled probability is below this, whatever the language, or if it has no letter.
 LEAST_SCORE = 0.35
+#: Near copies share at least so many hundredths of their five-word shingles.
+NEAR = 80
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
-    keep = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    keep = minhash.near_duplicates(docs, NEAR).where("kept").select("doc_id")
     return docs.join(keep, "doc_id", "left_semi")
 
 

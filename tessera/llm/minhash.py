@@ -15,7 +15,8 @@ sorted shingle set, bands of full minima and a b-bit signature. Then:
    the documents outside their largest class with all other blocks, so that no link is lost
    and no task holds a group.
 
-With 32 bands of 6 minima, a pair at exactly 0.85 shares no band with probability 3e-7.
+A pair at exactly `percent` shares no band with probability MISS at most: at 85 there are
+32 bands of 6 minima (3e-7), at 80 there are 38 of 5 (3e-7).
 
 Nulls, empty texts and texts without a word have an empty set and are linked with
 nothing. Repeated rows count as one document and are all returned; doc_id should be unique
@@ -35,9 +36,8 @@ from . import common as C
 WORD = np.ones(256, bool)
 WORD[[0x20, 9, 10, 11, 12, 13]] = False
 WORDS, PERCENT = 5, 85
-BANDS, ROWS, BITS = 32, 6, 2
+MINIMA, BITS, MISS = 192, 2, 1e-6
 BLOCK, STRAYS = 128, 512
-MINIMA = BANDS * ROWS
 _r = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _r.integers(1 << 62, size=MINIMA, dtype=np.uint64) * C.U(2) + C.U(1)
 ADD = _r.integers(1 << 63, size=MINIMA, dtype=np.uint64)
@@ -115,12 +115,21 @@ def cut(percent: int, bits: int = BITS) -> float:
     return percent / 100 - 6 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, minima in each): the widest bands by which a pair at exactly percent is missed with probability MISS at most."""
+    for rows in range(MINIMA, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (MINIMA // rows) <= MISS:
+            return MINIMA // rows, rows
+    return MINIMA, 1
+
+
 SIGNED = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Shingle count, set digest, signature and band keys of each row of docs (doc_id, text)."""
     C.small_batches(docs.sparkSession)
+    bands, width = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.slices(batches):
@@ -130,10 +139,10 @@ def signed(docs: DataFrame) -> DataFrame:
             least = minima(s, so)
             wide = MINIMA * BITS // 8
             sig = packed(least).view(np.uint8).reshape(len(have), wide)
-            keys = np.zeros((len(have), BANDS), np.uint64)
-            for r in range(ROWS):
-                keys = C.mix(keys * C.U(0x9E3779B97F4A7C15) + least[:, r::ROWS] + C.U(r + 1))
-            keys = C.mix(keys + np.arange(BANDS, dtype=np.uint64))
+            keys = np.zeros((len(have), bands), np.uint64)
+            for r in range(width):
+                keys = C.mix(keys * C.U(0x9E3779B97F4A7C15) + least[:, r : bands * width : width] + C.U(r + 1))
+            keys = C.mix(keys + np.arange(bands, dtype=np.uint64))
             start = so[:-1][n > 0]
             digest = np.zeros((len(n), 2), np.uint64)
             if len(have):
@@ -141,7 +150,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 digest[have, 1] = np.add.reduceat(C.mix(s ^ C.U(0xA5A5A5A5A5A5A5A5)), start)
             signature = np.zeros((len(n), wide), np.uint8)
             signature[have] = sig
-            full = np.where(n > 0, BANDS, 0)
+            full = np.where(n > 0, bands, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), pa.array(n, pa.int64()), C.binaries(digest.view(np.uint8).ravel(), np.arange(len(n) + 1) * 16), C.binaries(signature.ravel(), np.arange(len(n) + 1) * wide),
@@ -319,7 +328,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     C.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = C.kept(signed(docs))
+    every = C.kept(signed(docs, percent))
     full = every.where("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     alone = full.join(reps, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])

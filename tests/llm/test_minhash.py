@@ -49,6 +49,13 @@ def test_against_brute_force(spark):
     assert run(spark, data) == brute(data)
 
 
+def test_banding():
+    assert M.banding(85) == (32, 6) and M.banding(80) == (38, 5)
+    for percent in range(10, 101, 5):
+        bands, rows = M.banding(percent)
+        assert bands * rows <= M.MINIMA and (1 - (percent / 100) ** rows) ** bands <= M.MISS
+
+
 def test_large_groups_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 8)
     monkeypatch.setattr(M, "STRAYS", 8)

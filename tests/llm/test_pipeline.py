@@ -104,3 +104,18 @@ def test_stages_keep_the_columns(spark, corpus):
     for _, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, d)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
+
+
+def test_near_copies_from_four_fifths_on_go(spark):
+    r = random.Random(4)
+    rows = []
+    for g in range(20):
+        w = [f"w{g}x{k}" for k in range(100)]
+        rows.append((2 * g, " ".join(w)))
+        # k words in the middle changed: 96 - (k + 4) shingles of 96 stay on either side.
+        k = r.choice([3, 4, 5, 6, 7])
+        rows.append((2 * g + 1, " ".join(w[:50] + [f"n{g}x{j}" for j in range(k)] + w[50 + k :])))
+    want = {i for i, _, _, good in near_brute(rows, 80) if good}
+    assert want < {i for i, _, _, good in near_brute(rows) if good}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in P.near_dedup(spark, docs, "").collect()} == want
