@@ -22,7 +22,8 @@ where at least FEW pages have the place.
 Text: character references are decoded, white space in a block becomes one space, blocks are
 trimmed and joined in page order by one space. Null html gives an empty text. A null url has
 the empty host. Unclosed, misnested and cut-off markup is read as browsers do in the main:
-what is open at the end is closed there.
+what is open at the end is closed there. Elements of any depth are opened and closed; those
+below DEPTH have no place of their own and count as content of that of their ancestor there.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,16 +68,29 @@ DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    """An element: place is a hash of its path, up the node it stands in, out why it is removed by its name."""
+    """An element: place is a hash of its path, up the node it stands in, out why it is removed by its name.
 
-    __slots__ = ("tag", "name", "up", "place", "out", "main", "depth", "children")
+    Below DEPTH, place is that of owner, the last ancestor with its own, and held says whether
+    a main element stands in between. block and solid are the depths of the nearest node, itself
+    included, that text belongs to and that isn't inline.
+    """
+
+    __slots__ = ("tag", "name", "up", "place", "out", "main", "depth", "children", "owner", "held", "block", "solid")
 
     def __init__(self, tag: str, name: str, up: Node | None, out: bool, main: bool) -> None:
         self.tag, self.name, self.up, self.out, self.main = tag, name, up, out, main
         self.depth = up.depth + 1 if up else 0
+        inline = up is not None and tag in INLINE
+        self.block = up.block if inline and not out else self.depth
+        self.solid = up.solid if inline else self.depth
+        self.children: list[str] = []
+        self.owner: Node | None = None
+        self.held = False
+        if up and up.depth >= DEPTH:
+            self.owner, self.place, self.held = up.owner or up, up.place, up.held or main and tag in MAIN
+            return
         path = f"{up.place}/{name}" if up else name
         self.place = int.from_bytes(hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-        self.children: list[str] = []
 
 
 def named(tag: str, raw: str, within_main: bool) -> tuple[str, bool, bool]:
@@ -97,9 +113,11 @@ def named(tag: str, raw: str, within_main: bool) -> tuple[str, bool, bool]:
 
 
 def blocks(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """The text blocks of a page with the node each stands in, in page order, and all nodes."""
+    """The text blocks of a page with the node each stands in, in page order, and all nodes with a place of their own."""
     root = Node("#root", "#root", None, False, False)
+    # A node's place in open_ is its depth; spots has those of each tag, so that no step walks down a deep page.
     open_, nodes, found, held = [root], [root], [], []
+    spots: dict[str, list[int]] = defaultdict(list)
     where: Node | None = None
 
     def flush() -> None:
@@ -111,23 +129,19 @@ def blocks(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             held.clear()
         where = None
 
-    def block_of() -> Node:
-        k = len(open_) - 1
-        while k and open_[k].tag in INLINE and not open_[k].out:
-            k -= 1
-        return open_[k]
-
     def add(piece: str) -> None:
         nonlocal where
         if piece:
             if where is None:
-                where = block_of()
+                where = open_[open_[-1].block]
             held.append(entities.unescape(piece) if "&" in piece else piece)
 
     def close(k: int) -> None:
         """Close the open elements from the k-th on."""
         if any(n.tag not in INLINE or n.out for n in open_[k:]):
             flush()
+        for n in open_[k:]:
+            spots[n.tag].pop()
         del open_[k:]
 
     at = 0
@@ -144,12 +158,8 @@ def blocks(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             if tag == "br":
                 add(" ")
                 continue
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    close(k)
-                    break
-                if tag in INLINE and open_[k].tag not in INLINE:
-                    break
+            if spots[tag] and (tag not in INLINE or spots[tag][-1] > open_[-1].solid):
+                close(spots[tag][-1])
             continue
         if not m[2]:
             continue
@@ -157,27 +167,17 @@ def blocks(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag in ("br", "wbr"):
             add(" " if tag == "br" else "")
             continue
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in open_):
-            if any(n.tag == tag for n in open_):
-                continue
-        if tag in CLOSES_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == "p":
-                    close(k)
-                    break
-                if open_[k].tag not in INLINE:
-                    break
-        if tag == "body":
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == "head":
-                    close(k)
-                    break
+        if tag in ("html", "body") and spots[tag]:
+            continue
+        if tag in CLOSES_P and open_[open_[-1].solid].tag == "p":
+            close(open_[-1].solid)
+        if tag == "body" and spots["head"]:
+            close(spots["head"][-1])
         if tag in CLOSES:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag in SCOPE[tag]:
-                    break
-                if open_[k].tag in CLOSES[tag]:
-                    close(k)
+            scope = max((spots[t][-1] for t in SCOPE[tag] if spots[t]), default=0)
+            inside = [spots[t][bisect_right(spots[t], scope)] for t in CLOSES[tag] if spots[t] and spots[t][-1] > scope]
+            if inside:
+                close(min(inside))
         up = open_[-1]
         name, out, main = named(tag, m[3] or "", up.main)
         void = tag in VOID or (m[3] or "").rstrip().endswith("/") and tag not in INLINE | CLOSES_P
@@ -186,8 +186,8 @@ def blocks(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag in VOID:
             up.children.append(name) if up.depth < DEPTH else None
             continue
-        node = Node(tag, name, up, out or up.out, main or up.main) if up.depth < DEPTH else up
-        if node is not up:
+        node = Node(tag, name, up, out or up.out, main or up.main)
+        if not node.owner:
             if not up.children or up.children[-1] != name:
                 up.children.append(name)
             nodes.append(node)
@@ -197,8 +197,7 @@ def blocks(text: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             continue
         if void and tag in ("path", "rect", "circle", "use", "g", "line"):
             continue
-        if node is up:
-            continue
+        spots[tag].append(node.depth)
         open_.append(node)
     flush()
     return found, nodes
@@ -268,6 +267,9 @@ def main_text(text: str, low: set[int]) -> str:
         def stays(n: Node) -> bool:
             if n.main and n.tag in PROSE:
                 n = n.up
+            if n.held:
+                return True
+            n = n.owner or n
             while n is not None:
                 if n.place in low and not (n.main and (n.tag in MAIN or n.tag in PROSE or n.up is None)):
                     return False

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 
@@ -25,6 +26,32 @@ def test_odd_markup(html, want):
     assert T.main_text(html, set()) == want
 
 
+def test_deep_elements_are_parsed():
+    for n in (10, 60, 3000):
+        deep, end = "<div>" * n, "</div>" * n
+        assert T.main_text(f"{deep}keep<nav>menu</nav><div class=comments><p>reader</div><p>on{end}", set()) == "keep on"
+        assert T.main_text(f"<div><article>{deep}x{end}<p>rest</p></article></div><p>after", set()) == "x rest"
+        assert T.main_text(f"{deep}<article>a</article>b{end}", set()) == "a"
+        assert T.main_text(f"{deep}<ul><li>a<ul><li>b</ul><li>c <b>d</ul></b>e{end}", set()) == "a b c d e"
+
+
+def test_deep_places():
+    found, nodes = T.blocks("<div>" * 60 + "text<article>story<p>more")
+    assert len(nodes) == T.DEPTH + 1 and {n.place for n, _ in found} == {nodes[-1].place}
+    assert T.main_text("<div>" * 60 + "text", {nodes[-1].place}) == ""
+    assert T.main_text("<div>" * 60 + "text<article>story<p>more", {nodes[-1].place}) == "story more"
+    page = "<div>" * (T.DEPTH - 1) + "<article><div>story"
+    assert T.main_text(page, {T.blocks(page)[1][-1].place}) == "story"
+
+
+def test_deep_pages_take_linear_time():
+    n = 50000
+    for html in ("<b>x" * n + "</i>" * n, "<u><div>" + "<b>" * n + "</u>x" * n, "<div>x" * n + "<li>" * n, "<p>" + "<b>" * n + "<i></i>x" * n):
+        began = time.monotonic()
+        T.main_text(html, {0})
+        assert time.monotonic() - began < 20
+
+
 def brute(pages):
     """Importance by the definitions, from all pages of one host."""
     per = []
