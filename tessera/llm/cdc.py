@@ -6,9 +6,9 @@ a text's last; its first, SEEN) and at most MOST. Ends depend on nearby bytes on
 chunks fall into step again.
 
 Chunks are deduplicated by a 128-bit digest. A chunk is repeated if its digest occurs in
-two places or more; the occurrence with the smallest (doc_id, start) stays. To leave chance
-agreement of short chunks alone, repeated chunks count only in runs, side by side, of at
-least RUN bytes.
+two places or more; the occurrence with the smallest (doc_id, start) stays and all others
+go, however short: RUN is 1. A caller may ask for more, so that repeated chunks count only in
+runs, side by side, of at least so many bytes.
 
 A null text is empty and has no chunk. Rows with the same doc_id should not differ; if a
 row is repeated its chunks have the same place and so are one occurrence. A row with a null
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
-LEAST, AVERAGE_BITS, MOST, RUN = 16, 5, 256, 96
+LEAST, AVERAGE_BITS, MOST, RUN = 16, 5, 256, 1
 #: Bytes that the rolling hash sees; no chunk ends nearer to its text's start by the hash.
 SEEN = 32
 GEAR = (C.BYTE_WORD >> C.U(32)).astype(np.uint32)

@@ -59,6 +59,15 @@ def test_against_brute_force(spark):
     assert {tuple(x) for x in got} == brute(rows) and len(got) == len(rows)
 
 
+def test_short_copies_go(spark):
+    line = "One short line that many pages have."
+    rows = [(i, line) for i in range(5)] + [(5, "tiny"), (6, "tiny"), (7, "another")]
+    got = {x.doc_id: x for x in D.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in range(8)] == [0, *[len(line)] * 4, 0, 4, 0]
+    assert [got[i].kept_text for i in range(1, 5)] == [""] * 4 and got[6].kept_text == ""
+    assert got[0].n_repeated > 0 and got[5].n_repeated == 1 and got[7].n_repeated == 0
+
+
 def test_insertion_moves_few_chunks():
     r = np.random.default_rng(1)
     a = r.integers(0, 256, 20000).astype(np.uint8)
