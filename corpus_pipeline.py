@@ -26,9 +26,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network can tell."""
-    good = langid.identify(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(good.select("doc_id"), "doc_id", "left_semi")
+    """Documents whose language the network can tell; each row by its own text, those without a doc_id too."""
+    return langid.predicted(docs, langid.fitted(docs), least=LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,8 +220,11 @@ def sample(docs: DataFrame, training: Column, most: int = SAMPLE) -> tuple[list[
     return [bytes(r.t) for r in got], [r.lang for r in got]
 
 
-def predicted(docs: DataFrame, net: Network | None, positions: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of docs (doc_id, text); with positions also labels, one byte for each byte of the text."""
+def predicted(docs: DataFrame, net: Network | None, positions: bool = False, least: float | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row of docs (doc_id, text); with positions also labels, one byte for each byte of the text.
+
+    With least, docs instead: its rows, whole and as they are, whose language is told with that score or more.
+    """
     C.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,11 +251,16 @@ def predicted(docs: DataFrame, net: Network | None, positions: bool = False) ->
             best = probs.argmax(1)
             name = [net.labels[b] if g else UNKNOWN for b, g in zip(best.tolist(), good.tolist(), strict=True)]
             score = np.where(good, np.clip(probs.max(1), 0, 1), 0.0)
+            if least is not None:
+                yield rows.filter(pa.array((np.array(name) != UNKNOWN) & (score >= least)))
+                continue
             cols = [rows.column("doc_id"), pa.array(name, pa.string()), pa.array(score)]
             if positions:
                 cols.append(C.binaries(marks, offs))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "labels"][: len(cols)])
 
+    if least is not None:
+        return docs.mapInArrow(run, docs.schema)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return slim.mapInArrow(run, "doc_id long, lang_pred string, score double" + ", labels binary" * positions)
 

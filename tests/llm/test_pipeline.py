@@ -119,3 +119,16 @@ def test_near_copies_from_four_fifths_on_go(spark):
     assert want < {i for i, _, _, good in near_brute(rows) if good}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id for x in P.near_dedup(spark, docs, "").collect()} == want
+
+
+def test_rows_without_an_id_are_judged_by_their_language(spark, corpus):
+    d, rows, _ = corpus
+    more = [(None, t, lang, s, n) for _, t, lang, s, n in rows[:30]]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string, n_chars long")
+    score = P.langid.identify(docs).where("doc_id is not null").collect()
+    good = {x.doc_id for x in score if x.lang_pred != P.langid.UNKNOWN and x.score >= P.LEAST_SCORE}
+    got = P.language_id(spark, docs, d)
+    want = [x for x in rows if x[0] in good] + [m for m, x in zip(more, rows) if x[0] in good]
+    assert got.schema == docs.schema and len(want) > len(good) > 0
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
