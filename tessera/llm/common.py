@@ -29,9 +29,26 @@ BYTE_WORD = _rng.integers(1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
 _powers: dict[int, np.ndarray] = {}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows: their bytes follow the rows, and texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+class small_batches:
+    """Arrow batches of few rows from now on: their bytes follow the rows, and texts may be long.
+
+    As a context it gives the session its setting back. Operators that return a plan not yet run can't: the plan reads
+    the setting when it runs. Those leave it lowered, which changes no result.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.conf, self.before = spark.conf, spark.conf.get(BATCH_ROWS)
+        if not 0 < int(self.before) <= ROWS_A_BATCH:
+            self.conf.set(BATCH_ROWS, str(ROWS_A_BATCH))
+
+    def __enter__(self) -> small_batches:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.conf.set(BATCH_ROWS, self.before)
 
 
 def kept(df: DataFrame) -> DataFrame:
