@@ -26,7 +26,10 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 BASE = int(_rng.integers(1 << 62, dtype=np.uint64)) * 2 + 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_WORD = _rng.integers(1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
+#: A Mersenne prime, and two random bases below it with a random nonzero number for each byte.
+PRIME = U((1 << 31) - 1)
+LANES = [(int(_rng.integers(1 << 20, int(PRIME))), _rng.integers(1, int(PRIME), size=256, dtype=np.uint64)) for _ in range(2)]
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -98,25 +101,87 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0, base**1 ... modulo 2**64."""
-    have = _powers.get(base)
+    have = _powers.get((0, base))
     if have is None or len(have) < n:
         have = np.full(max(n, SLICE + 1), base & (2**64 - 1), np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have if len(have) <= 8 * SLICE else _powers.get(base, have[: SLICE + 1])
+        if len(have) <= 8 * SLICE:
+            _powers[0, base] = have
     return have[:n]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """H[i] = sum of word(data[j]) * BASE**j for j < i, modulo 2**64."""
+    """H[i] = sum of word(data[j]) * BASE**j for j < i, modulo 2**64.
+
+    Fast, and good to choose places by; but some different strings (Thue-Morse ones) agree whatever the base,
+    so whether strings are equal is for Prefixes to say.
+    """
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_WORD[data] * powers(BASE, len(data)), out=out[1:])
     return out
 
 
-def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The mixed hash of each data[start:end], the same wherever the bytes stand."""
-    return mix((h[end] - h[start]) * powers(INVERSE, len(h))[start])
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**63."""
+    x = (x & PRIME) + (x >> U(31))
+    x = (x & PRIME) + (x >> U(31))
+    return np.minimum(x, x - PRIME)  # x - PRIME wraps to a large number where x is below PRIME
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0, base**1 ... modulo PRIME."""
+    have = _powers.get((1, base))
+    if have is None or len(have) < n:
+        have = np.ones(max(n, SLICE + 1), np.uint64)
+        k, step = 1, base
+        while k < len(have):
+            have[k : 2 * k] = reduced(have[:k] * U(step))[: len(have) - k]
+            k, step = 2 * k, step * step % int(PRIME)
+        if len(have) <= 8 * SLICE:
+            _powers[1, base] = have
+    return have[:n]
+
+
+class Prefixes:
+    """Prefix polynomial hashes modulo a prime in two lanes, with random bases.
+
+    Two different strings of n bytes agree with a probability of (n / PRIME)**2 over the bases, whatever the strings.
+    """
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.lanes = []
+        n = len(data)
+        for base, words in LANES:
+            v = words[data] * prime_powers(base, n)
+            h = np.zeros(n + 1, np.uint64)
+            np.cumsum((v & PRIME) + (v >> U(31)), out=h[1:])
+            self.lanes.append((reduced(h), prime_powers(base, n + 1), prime_powers(pow(base, -1, int(PRIME)), n + 1)))
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The mixed hash of each data[start:end], the same wherever the bytes stand."""
+        out = np.zeros(len(start), np.uint64)
+        for h, _, inverse in self.lanes:
+            out = out << U(31) | reduced((h[end] + PRIME - h[start]) * inverse[start])
+        return mix(out)
+
+    def same(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Whether the hashes of n bytes from x and from y agree."""
+        out = np.ones(len(x), bool)
+        for h, p, _ in self.lanes:
+            out &= reduced((h[x + n] + PRIME - h[x]) * p[y]) == reduced((h[y + n] + PRIME - h[y]) * p[x])
+        return out
+
+
+def equal_spans(one: np.ndarray, a: np.ndarray, n: np.ndarray, many: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the n bytes of one from a are the m bytes of many from b, for each pair, byte by byte."""
+    out = n == m
+    use = np.flatnonzero(out & (n > 0))
+    if len(use):
+        cut = np.concatenate(([0], np.cumsum(n[use])[:-1]))
+        k = np.arange(int(n[use].sum())) - np.repeat(cut, n[use])
+        out[use] = np.logical_and.reduceat(one[np.repeat(a[use], n[use]) + k] == many[np.repeat(b[use], n[use]) + k], cut)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

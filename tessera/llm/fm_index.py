@@ -45,7 +45,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """(row, hash, start, end) of each word of the rows; start and end are places in data."""
     data = C.LOWER[data]
     start, end = C.word_spans(data, offs, WORD)
-    return np.searchsorted(offs, start, "right") - 1, C.span_hashes(C.prefix_hashes(data), start, end), start, end
+    return np.searchsorted(offs, start, "right") - 1, C.Prefixes(data).spans(start, end), start, end
 
 
 class Phrases:

@@ -47,7 +47,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np
     """Sorted distinct shingle hashes of each row, end to end, and their n + 1 offsets."""
     data = C.LOWER[data]
     start, end = C.word_spans(data, offs, WORD)
-    h = C.span_hashes(C.prefix_hashes(data), start, end)
+    h = C.Prefixes(data).spans(start, end)
     row = np.searchsorted(offs, start, "right") - 1
     n = len(offs) - 1
     per = np.bincount(row, minlength=n)

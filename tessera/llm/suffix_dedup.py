@@ -8,22 +8,25 @@ sort, so they are dealt by content:
    anchor. Equal windows have equal anchors at equal distances, so a window whose anchor
    occurs once in the corpus is unique. Only anchors met twice or more go on. Texts that
    occur whole more than once are removed whole; one of them stands for all here.
-2. Pieces. An anchor's run of windows, as one stretch of bytes, is dealt by the
-   anchor. Stretches that are equal within a document are sent once.
-3. Sort. A task puts many pieces end to end, takes prefix polynomial hashes and sorts the
+2. Pieces. An anchor's run of windows is one stretch of bytes. Equal pieces collapse before the shuffle, with a
+   count; a piece met twice is repeated as a whole. Which are equal is told by a cryptographic digest (BLAKE2b, 128 bits;
+   SHA-256 for whole texts), which nobody can make two different strings agree in.
+3. Sort. A task puts the different pieces of many anchors end to end, takes prefix polynomial hashes and sorts the
    suffixes that begin a window, by distance to the anchor, in a bottom-up mergesort. A
    comparison finds the common extension by binary search over prefix hashes, in 8 probes.
    Neighbours with an extension of at least `length` are compared byte by byte before
    their windows count as repeated.
-4. Anchors met over HOT times would fill one task. Their runs are split into blocks of up to STEP
-   windows at fixed distances from the anchor, and blocks are counted by a digest of two
-   independent 64-bit hashes, with partial aggregation: a block met twice is repeated as a
-   whole. All windows of a block share an inner stretch; only blocks whose inner stretch also
-   stands in a different block are looked at window by window, counted by digest likewise.
+4. An anchor with over FULL different pieces would outgrow a task. Its pieces are split into blocks of up to STEP
+   windows at fixed distances from the anchor, and a block is dealt by a longer context: the inner stretch that all its windows
+   share. Equal blocks collapse as pieces do and the different ones of an inner stretch are sorted. Where these are over FULL again,
+   the context is the whole window: equal windows collapse and nothing is left to sort. So no task grows with the
+   copies of a passage, or with the contexts it stands in.
 
 A null text is empty. Texts shorter than `length` keep all bytes. Repeated rows are
-copies of each other like any other rows with equal texts; doc_id should be unique. A
+copies of each other like any other rows with equal texts. doc_id should be unique: spans found in one of several
+texts with one doc_id are taken from all of them. A
 row with a null doc_id is no document: it keeps its bytes and is nobody's other place.
+Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,9 +42,9 @@ from . import common as C
 from .minhash import _groups
 
 #: STEP is about the square root of a run's mean length, where blocks and single windows are as many.
-LENGTH, GRAM, HOT, STEP = 200, 64, 64, 8
-#: Bytes of pieces that one sort holds; a group has at most HOT pieces of under 2 * LENGTH bytes.
-BUNDLE = 1 << 20
+LENGTH, GRAM, STEP = 200, 64, 8
+#: Bytes of pieces that one sort holds, and the different pieces (each of under 2 * LENGTH bytes) that a group may bring to it.
+BUNDLE, FULL = 1 << 20, 1024
 PLACE = 24
 SEGMENT = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -106,12 +109,7 @@ class Suffixes:
 
     def __init__(self, data: np.ndarray, depth: int) -> None:
         self.data, self.depth = data, depth
-        self.h, self.p = C.prefix_hashes(data), C.powers(C.BASE, len(data) + 1)
-
-    def same(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        """Whether the hashes of n bytes from x and from y agree."""
-        h, p = self.h, self.p
-        return (h[x + n] - h[x]) * p[y] == (h[y + n] - h[y]) * p[x]
+        self.same = C.Prefixes(data).same
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The common extension of the suffixes at x and at y, at most depth, by binary search."""
@@ -224,18 +222,43 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum())) if len(count) else np.zeros(0, np.int64)
 
 
-PIECES = "route long, check long, doc_id long, place long, ahead int, piece binary, inner1 long, inner2 long, w1 array<long>, w2 array<long>"
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a cryptographic digest of each raw[start:end] with its salt."""
+    blake, out = hashlib.blake2b, []
+    for a, b, s in zip(start.tolist(), end.tolist(), salt.tolist(), strict=True):
+        out.append(blake(raw[a:b], digest_size=16, salt=s.to_bytes(8, "little", signed=True)).digest())
+    pair = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+    return pair[:, 0].copy(), pair[:, 1].copy()
 
 
-def pieces(candidates: DataFrame, length: int) -> DataFrame:
-    """Rows of three kinds from documents with candidate anchors.
+def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, twice): an index of each different key, and the indices of all whose key is met twice or more."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    lot = np.cumsum(new) - 1
+    return order[new], order[np.bincount(lot)[lot] > 1] if len(order) else order
 
-    With a piece: a stretch of windows to be sorted. Without, and ahead 0: a block of windows of
-    an anchor that is too common (route and check are its digest, inner1 and inner2 that of its
-    inner stretch, w1 and w2 those of its windows); ahead -1: the same where it stands in the
-    document more than once; ahead -2: place packs a span known to be repeated within the document.
-    """
-    second, other = C.mix(C.BYTE_WORD ^ C.U(0x5851F42D4C957F2D)) | C.U(1), C.BASE ^ 0x1234567890ABCDE0
+
+#: route is the group that is sorted together, d1 and d2 tell equal pieces of it; a row without a piece is a span known to be repeated.
+PIECES = "route long, d1 long, d2 long, doc_id long, place long, n int, ahead int, piece binary"
+
+
+def _batch(route: np.ndarray, d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, ahead: np.ndarray, piece: pa.Array) -> pa.RecordBatch:
+    cols = [pa.array(route), pa.array(d1), pa.array(d2), pa.array(doc), pa.array(place), pa.array(n.astype(np.int32)), pa.array(ahead.astype(np.int32)), piece]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PIECES.split(", ")])
+
+
+def _spans(doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    none = np.zeros(len(doc), np.int64)
+    return _batch(none, none, none, doc, place, n, none, pa.nulls(len(doc), pa.binary()))
+
+
+def pieces(candidates: DataFrame, length: int) -> DataFrame:
+    """PIECES of documents with candidate anchors. Of pieces that are equal within a slice of a document one goes on, and all are spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.slices(batches):
@@ -244,78 +267,88 @@ def pieces(candidates: DataFrame, length: int) -> DataFrame:
             row = np.repeat(np.arange(len(ids)), np.asarray(marks.value_lengths().fill_null(0)))
             marks = marks.flatten()
             at, n, g = (np.asarray(marks.field(k)) for k in range(3))
-            m = np.asarray(rows.column("copies"))[row]
-            use = n > m  # else only copies of the whole text have this anchor
-            at, n, g, row = at[use], n[use], g[use], row[use]
+            use = n > np.asarray(rows.column("copies"))[row]  # else only copies of the whole text have this anchor
+            at, g, row = at[use], g[use], row[use]
             p, a, b = at >> 16, at >> 8 & 255, at & 255
-            first, count = p - a + offs[row], a - b + 1
-            h = C.prefix_hashes(data)
-            seg = first + count - 1 + length
-            out = []
-
-            def put(route, check, who, place, ahead, piece, inner1=None, inner2=None, w1=None, w2=None):
-                none = [pa.nulls(len(route), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
-                extra = [n if x is None else x for x, n in zip((inner1, inner2, w1, w2), none, strict=True)]
-                names = [x.split()[0] for x in PIECES.split(", ")]
-                out.append(pa.RecordBatch.from_arrays([pa.array(route), pa.array(check), pa.array(who), pa.array(place), pa.array(ahead.astype(np.int32)), piece, *extra], names=names))
-
-            spans = []
-            sort = np.flatnonzero(n <= HOT)
-            if len(sort):
-                key = C.mix(C.span_hashes(h, first[sort], seg[sort]) + a[sort].astype(np.uint64)) ^ C.mix(g[sort].view(np.uint64))
-                order = np.lexsort((first[sort], key, row[sort]))
-                r, k = row[sort][order], key[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-                lot = np.cumsum(new) - 1
-                many = np.bincount(lot)[lot] > 1
-                twice = sort[order[many]]
-                spans.append((row[twice], first[twice], seg[twice]))
-                one = sort[order[new]]
-                lens = seg[one] - first[one]
-                piece = C.binaries(data[ranges(first[one], lens)], np.concatenate(([0], np.cumsum(lens))))
-                put(g[one], np.zeros(len(one), np.int64), ids[row[one]], first[one] - offs[row[one]], a[one], piece)
-            hot = np.flatnonzero(n > HOT)
-            if len(hot):
-                h2 = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(second[data] * C.powers(other, len(data)), out=h2[1:])
-                back = C.powers(pow(other, -1, 1 << 64), len(h2))
-                digests = lambda x, y, salt: (C.mix(C.span_hashes(h, x, y) + salt).view(np.int64), C.mix(C.mix((h2[y] - h2[x]) * back[x]) + salt).view(np.int64))
-                s = ranges(first[hot], count[hot])
-                owner = np.repeat(hot, count[hot])
-                anchor = (p + offs[row])[owner]
-                q = (anchor - s) // STEP
-                new = np.ones(len(s), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (q[1:] != q[:-1])
-                lo = np.flatnonzero(new)
-                hi = np.concatenate((lo[1:], [len(s)]))
-                w1, w2 = digests(s, s + length, C.U(0))
-                x, y = s[lo], s[hi - 1] + length
-                salt = g[owner[lo]].view(np.uint64) + q[lo].astype(np.uint64)
-                f1, f2 = digests(x, y, salt + ((anchor[lo] - x) % STEP * STEP + hi - lo).astype(np.uint64) * C.U(0x9E3779B97F4A7C15))
-                inner = anchor[lo] - q[lo] * STEP
-                i1, i2 = digests(inner, inner + length - STEP + 1, salt)
-                r = row[owner[lo]]
-                order = np.lexsort((x, f2, f1, r))
-                new = np.ones(len(order), bool)
-                new[1:] = (r[order[1:]] != r[order[:-1]]) | (f1[order[1:]] != f1[order[:-1]]) | (f2[order[1:]] != f2[order[:-1]])
-                lot = np.cumsum(new) - 1
-                many = np.bincount(lot)[lot] > 1
-                twice = order[many]
-                spans.append((r[twice], x[twice], y[twice]))
-                one = order[new]
-                at_ = pa.array(np.concatenate(([0], hi)), pa.int32())
-                pick = pa.array(one)
-                lists = [pa.ListArray.from_arrays(at_, pa.array(w)).take(pick) for w in (w1, w2)]
-                put(f1[one], f2[one], ids[r[one]], x[one] - offs[r[one]], np.where(many[new], -1, 0), pa.nulls(len(one), pa.binary()), pa.array(i1[one]), pa.array(i2[one]), *lists)
-            for r, x, y in spans:
-                if len(r):
-                    put(x * 0, x * 0, ids[r], (x - offs[r]) << 24 | np.minimum(y - x, (1 << 24) - 1), np.full(len(r), -2), pa.nulls(len(r), pa.binary()))
-            yield from out
+            first = p - a + offs[row]
+            end = first + a - b + length
+            d1, d2 = digests(data.tobytes(), first, end, g ^ a)
+            one, twice = _first_of(row, g, d1, d2)
+            for x in (one[k : k + (1 << 13)] for k in range(0, len(one), 1 << 13)):
+                lens = end[x] - first[x]
+                piece = C.binaries(data[ranges(first[x], lens)], np.concatenate(([0], np.cumsum(lens))))
+                yield _batch(g[x], d1[x], d2[x], ids[row[x]], first[x] - offs[row[x]], lens, a[x], piece)
+            if len(twice):
+                yield _spans(ids[row[twice]], first[twice] - offs[row[twice]], end[twice] - first[twice])
 
     return candidates.mapInArrow(run, PIECES)
 
 
+def blocks(large: DataFrame, length: int) -> DataFrame:
+    """PIECES of up to STEP windows from those of anchors with too many; route is the anchor with the inner stretch of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in C.slices(batches, "piece"):
+            ids, place, ahead, g = (np.asarray(rows.column(c)) for c in ("doc_id", "place", "ahead", "route"))
+            count = np.diff(offs) - length + 1
+            owner = np.repeat(np.arange(len(count)), count)
+            start = ranges(offs[:-1], count)
+            far = ahead[owner] - (start - offs[owner])  # how far a window starts ahead of the anchor
+            q = far // STEP
+            new = np.ones(len(q), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (q[1:] != q[:-1])
+            lo = np.flatnonzero(new)
+            hi = np.concatenate((lo[1:], [len(q)])) - 1
+            who = owner[lo]
+            x, y = start[lo], start[hi] + length
+            inner = x + far[lo] - q[lo] * STEP
+            raw = data.tobytes()
+            route, _ = digests(raw, inner, inner + length - STEP + 1, g[who] ^ q[lo] << 32)
+            d1, d2 = digests(raw, x, y, g[who] ^ far[lo])
+            lens = y - x
+            piece = C.binaries(data[ranges(x, lens)], np.concatenate(([0], np.cumsum(lens))))
+            yield _batch(route, d1, d2, ids[who], place[who] + x - offs[who], lens, far[lo], piece)
+
+    return large.mapInArrow(run, PIECES)
+
+
+def windows(large: DataFrame, length: int) -> DataFrame:
+    """PIECES of one window each, without bytes, from those of inner stretches with too many; equal windows have equal keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in C.slices(batches, "piece"):
+            ids, place, ahead = (np.asarray(rows.column(c)) for c in ("doc_id", "place", "ahead"))
+            count = np.diff(offs) - length + 1
+            owner = np.repeat(np.arange(len(count)), count)
+            start = ranges(offs[:-1], count)
+            k = start - offs[owner]
+            d1, d2 = digests(data.tobytes(), start, start + length, np.zeros(len(start), np.int64))
+            yield _batch(d1, d1, d2, ids[owner], place[owner] + k, np.full(len(k), length), ahead[owner] - k, pa.nulls(len(k), pa.binary()))
+
+    return large.mapInArrow(run, PIECES)
+
+
+KEY = ["route", "d1", "d2"]
+
+
+def _different(found: DataFrame) -> DataFrame:
+    """Each different piece once, as it stands in one place, and k, how often it was met."""
+    one = F.any_value(F.struct("doc_id", "place", "n", "ahead", "piece")).alias("one")
+    return C.kept(found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), one).select(*KEY, "k", "one.*"))
+
+
+def _copied(found: DataFrame, different: DataFrame) -> DataFrame:
+    """(doc_id, place, n): the places of pieces met twice or more."""
+    met = C.kept(different.where("k > 1").select(*KEY))
+    return found.select(*KEY, "doc_id", "place", "n").join(met, KEY).select("doc_id", "place", F.col("n").cast("long").alias("n"))
+
+
+def _by_size(different: DataFrame, full: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of groups that one sort can hold, and of the others."""
+    large = C.kept(different.groupBy("route").agg(F.count(F.lit(1)).alias("group")).where(F.col("group") > full).select("route"))
+    return different.join(large, "route", "left_anti"), different.join(large, "route", "left_semi")
+
+
 def sorted_spans(found: DataFrame, length: int) -> DataFrame:
     """(doc_id, place, n): spans of repeated windows among pieces dealt by route."""
 
@@ -361,7 +394,24 @@ def merged(start: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def spans(found: DataFrame, length: int, full: int) -> DataFrame:
+    """(doc_id, place, n) of all repeated windows among pieces, some more than once."""
+    out = found.where("piece is null").select("doc_id", "place", F.col("n").cast("long").alias("n"))
+    found = found.where("piece is not null")
+    for finer in (blocks, windows, None):
+        different = _different(found)
+        out = out.unionByName(_copied(found, different))
+        if finer is None:
+            return out
+        small, large = _by_size(different, full)
+        out = out.unionByName(sorted_spans(small, length))
+        if large.isEmpty():
+            return out
+        found = C.kept(finer(large, length))
+    return out
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, full: int = FULL) -> tuple[DataFrame, DataFrame]:
     """(whole, part): doc_id of texts that occur more than once and are removed whole; and doc_id, text (binary) and spans (place, n) of the others with a repeat."""
     C.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
@@ -374,34 +424,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     marks = every.join(common, "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h")).alias("marks"))
     marks = marks.join(whole, "doc_id", "left").where("rep is null or rep = doc_id").select("doc_id", "marks", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     candidates = C.kept(docs.join(marks, "doc_id"))
-    found = C.kept(pieces(candidates, length))
-    spans = sorted_spans(found.where("piece is not null"), length)
-    own = found.where("ahead = -2").select("doc_id", F.shiftright("place", 24).alias("place"), F.col("place").bitwiseAND((1 << 24) - 1).alias("n"))
-    blocks = found.where("piece is null and ahead > -2")
-    met = blocks.groupBy("route", "check").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = C.kept(met.select("route", "check"))
-    far = blocks.where("ahead = 0").select("route", "check", "doc_id", "place", F.size("w1").alias("k")).join(met, ["route", "check"])
-    far = far.select("doc_id", "place", (F.col("k") + (length - 1)).cast("long").alias("n"))
-    full = F.struct("route", "check")
-    mixed = blocks.groupBy("inner1", "inner2").agg(F.min(full).alias("low"), F.max(full).alias("high")).where("low <> high")
-    mixed = C.kept(mixed.select("inner1", "inner2"))
-    lists = F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w")
-    mixed = C.kept(blocks.select("inner1", "inner2", "route", "check", "doc_id", "place", "ahead", "w1", "w2").join(mixed, ["inner1", "inner2"]))
-    # Each different block counts once, or twice if it stands in two places; only blocks that aren't repeated as a whole are looked up.
-    one = mixed.groupBy("route", "check").agg(F.any_value("w1").alias("w1"), F.any_value("w2").alias("w2"), F.sum(1 - F.col("ahead")).alias("k"))
-    one = one.select(F.least("k", F.lit(2)).alias("times"), lists).groupBy("w.w1", "w.w2").agg(F.sum("times").alias("times"))
-    twice = C.kept(one.where("times > 1").select("w1", "w2"))
-    rest = mixed.where("ahead = 0").join(met, ["route", "check"], "left_anti").select("doc_id", "place", lists)
-    near = rest.select("doc_id", (F.col("place") + F.col("k")).alias("place"), "w.w1", "w.w2").join(twice, ["w1", "w2"]).select("doc_id", "place", F.lit(length).cast("long").alias("n"))
-    far = far.unionByName(near)
-    all_spans = spans.unionByName(own).unionByName(far).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
+    all_spans = spans(C.kept(pieces(candidates, length)), length, full).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
     part = candidates.where("copies = 1").select("doc_id", "text").join(all_spans, "doc_id")
     return whole.select("doc_id"), part
 
 
-def cuts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
+def cuts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = False, full: int = FULL) -> DataFrame:
     """(doc_id, took, count, sha, kept_text) of the documents that lose bytes; took is -1 where all go."""
-    whole, part = repeats(docs, length, gram)
+    whole, part = repeats(docs, length, gram, full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.slices(batches):
@@ -430,11 +460,11 @@ def cuts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
     return cut.unionByName(gone).dropDuplicates(["doc_id"])
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, full: int = FULL) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
-    out = out.join(cuts(docs, length, gram).drop("kept_text"), "doc_id", "left")
+    out = out.join(cuts(docs, length, gram, full=full).drop("kept_text"), "doc_id", "left")
     took = F.when(F.col("took") == -1, F.col("n_bytes")).otherwise(F.coalesce("took", F.lit(0)))
     return out.select("doc_id", "n_bytes", took.alias("n_removed"), F.coalesce("count", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"))
 

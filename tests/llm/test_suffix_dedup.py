@@ -44,12 +44,37 @@ def rows(seed):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 6])
-def test_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(S, "HOT", hot)
-    data = rows(hot)
+@pytest.mark.parametrize("full", [1024, 6, 1])
+def test_against_brute_force(spark, full):
+    data = rows(full)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {tuple(x) for x in S.removed(df, full=full).collect()} == brute(data)
+
+
+def test_one_passage_in_thousands_of_documents(spark):
+    """Its pieces at both ends are different in each document; over FULL of them share an anchor."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, ends = prose(60), [prose(3), prose(30)]
+    data = [(i, prose(r.randrange(1, 12)) + r.choice(["", ends[0]]) + passage + r.choice(["", ends[1]]) + prose(r.randrange(40))) for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    assert {tuple(x) for x in S.removed(df).collect()} == brute(data)
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_strings_whose_hash_modulo_a_power_of_two_agrees(spark):
+    one = thue_morse(1024)
+    two = one.translate({97: "b", 98: "a"})
+    data = [(1, "x" * 10 + one), (2, "y" * 10 + two), (3, one[:300] + two[:700]), (4, two[:500] + "z" + one[300:])]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert {tuple(x) for x in S.removed(df).collect()} == brute(data)
+    both = np.frombuffer((one + two).encode(), np.uint8)
+    h = S.C.Prefixes(both)
+    assert not h.same(np.array([0]), np.array([1024]), 1024)[0]
 
 
 def test_suffix_order_is_that_of_bytes():
