@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from hypothesis import given, settings, strategies as st
 
@@ -15,7 +16,7 @@ def covered(data):
     at = 0
     for f in found:
         if f.start != at:
-            assert f.start < at and f.kind != "gap"  # a further record of the same member
+            assert f.start < at and f.inner is not None  # further in the same member
         else:
             at += f.n
     assert at == len(data)
@@ -37,11 +38,46 @@ def test_damage_is_cut_out():
         assert [f.payload for f in found if f.kind != "gap"] == [b for i, b in enumerate(bodies) if i != hit]
         gap, = [f for f in found if f.kind == "gap"]
         assert gap.start == sum(map(len, parts[:hit])) and gap.n == len(parts[hit]) and gap.reason
-    cut = b"noise" + whole[:-7]
-    found = covered(cut)
+    found = covered(b"noise" + whole[:-7])  # only the last member's sum is cut
+    assert [f.payload for f in found if f.kind != "gap"] == bodies and [f.kind for f in found].count("gap") == 2
+    found = covered(b"noise" + whole[: -len(parts[-1]) // 2])
     assert [f.payload for f in found if f.kind != "gap"] == bodies[:-1] and [f.kind for f in found].count("gap") == 2
 
 
+def test_damage_within_a_member():
+    bodies = [b"first" * 400, b"second" * 300, b"third" * 500]
+    parts = [rec(i, b) for i, b in enumerate(bodies)]
+    bad = parts[1].replace(b"second", b"sXcond", 1)
+    found = covered(W.gzipped(parts[0] + bad + parts[2]) + W.gzipped(rec(9, b"after")))
+    assert [(f.kind, f.payload) for f in found] == [("response", bodies[0]), ("gap", b""), ("response", bodies[2]), ("response", b"after")]
+    assert (found[1].inner, found[1].inner_n, found[1].reason) == (len(parts[0]), len(bad), "wrong digest") and found[0].reason is None
+    whole = W.gzipped(b"".join(parts))
+    found = covered(whole[:-4] + W.gzipped(rec(9, b"after")))
+    assert [f.payload for f in found if f.kind != "gap"] == [*bodies, b"after"] and found[0].reason and found[-1].reason is None
+    r = random.Random(1)
+    noisy = [rec(i, r.randbytes(40000)) for i in range(3)]
+    whole = bytearray(W.gzipped(b"".join(noisy)))
+    whole[100000:] = whole[100500:]
+    found = covered(bytes(whole) + W.gzipped(rec(9, b"after")))
+    assert [f.fields["warc-record-id"] for f in found if f.kind != "gap"] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:9>"]
+    cut = W.gzipped(b"".join(noisy))[:-4]
+    assert [f.kind for f in covered(cut)].count("response") == 3
+    sums = bytearray(W.gzipped(b"".join(parts)))
+    sums[-6] ^= 1
+    assert [f.reason for f in covered(bytes(sums))] == ["member: wrong sum"] * 4
+
+
+def test_long_headers(spark):
+    rows = [(1, "http://h/" + "x" * (1 << 20), "a" * 150), (2, "http://h/2", "a" * 150), (3, "é" * 70000, "b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((x.page_id, x.record_type) for x in W.round_trip(df).collect()) == [(1, "response"), (2, "revisit"), (3, "response")]
+    got = {x.page_id: x.url for x in W.read(W.archived(df)).collect()}
+    assert got == {i: u for i, u, _ in rows}
+    began = time.monotonic()
+    covered(b"WARC/1.0\r\nx: y\r\n" * 100000)
+    assert time.monotonic() - began < 20
+
+
 def test_a_false_start_in_a_payload_does_not_hide_the_rest():
     inner = rec(7, b"inside")
     data = rec(1, b"x" * 50 + inner + b"\x1f\x8b\x08junk") + rec(2, b"next")
