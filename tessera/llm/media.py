@@ -15,6 +15,7 @@ A payload is stored losslessly as the 8-bit samples of a RIFF WAVE file (one cha
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,70 +30,105 @@ from . import common as C
 RATE, UNIT, FILL = 8000, 576, 255
 
 
-def png_end(b: memoryview, at: int) -> int:
+class Value:
+    """A binary value, and what validators have found out about places in it, so that several hits on one structure don't walk it twice."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.b = raw, memoryview(raw)
+        self.known: dict[tuple, int] = {}
+        self._pdf: tuple[int, int] | None = None
+
+    def walked(self, kind: str, at: int, step: Callable[[int], tuple[int, int | None]]) -> int:
+        """The end of a structure walked from `at`; step gives the next place, and the end (-1: not valid) or None to go on."""
+        seen, p, end = [], at, None
+        while end is None and (kind, p) not in self.known:
+            seen.append(p)
+            p, end = step(p)
+        end = self.known[kind, p] if end is None else end
+        self.known.update(((kind, x), end) for x in seen)
+        return end
+
+    def pdf(self) -> tuple[int, int]:
+        """The places of the last end mark and of the last cross-reference before it."""
+        if self._pdf is None:
+            k = self.raw.rfind(b"%%EOF")
+            self._pdf = k, self.raw.rfind(b"startxref", 0, k) if k >= 0 else -1
+        return self._pdf
+
+
+def png_end(v: Value, at: int) -> int:
     """After the last chunk of a PNG whose chunks have right lengths and sums; else -1."""
-    p, first = at + 8, True
-    while p + 12 <= len(b):
+    b = v.b
+
+    def step(p: int) -> tuple[int, int | None]:
         n = int.from_bytes(b[p : p + 4], "big")
-        kind = bytes(b[p + 4 : p + 8])
-        if p + 12 + n > len(b) or first and (kind != b"IHDR" or n != 13) or zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
-            return -1
-        p, first = p + 12 + n, False
-        if kind == b"IEND":
-            return p
-    return -1
+        if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
+            return p, -1
+        return p + 12 + n, p + 12 + n if bytes(b[p + 4 : p + 8]) == b"IEND" else None
+
+    return v.walked("png", at + 8, step) if bytes(b[at + 8 : at + 16]) == b"\0\0\0\x0dIHDR" else -1
 
 
-def gif_end(b: memoryview, at: int) -> int:
+def gif_end(v: Value, at: int) -> int:
     """After the trailer of a GIF whose blocks can be walked."""
-    p = at + 13
+    b, p = v.b, at + 13
     if p > len(b):
         return -1
     if b[at + 10] & 128:
         p += 3 * (2 << (b[at + 10] & 7))
-    while p < len(b):
+
+    def rows(p: int) -> tuple[int, int | None]:
+        """Over one run of data; ends at the byte after the empty one."""
+        if p >= len(b):
+            return p, -1
+        return (p + b[p] + 1, None) if b[p] else (p, p + 1)
+
+    def step(p: int) -> tuple[int, int | None]:
+        if p >= len(b):
+            return p, -1
         kind = b[p]
         if kind == 0x3B:
-            return p + 1
+            return p, p + 1
         if kind == 0x21:
             p += 2
         elif kind == 0x2C and p + 10 <= len(b):
             p += 11 + (3 * (2 << (b[p + 9] & 7)) if b[p + 9] & 128 else 0)
         else:
-            return -1
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return -1
+            return p, -1
+        p = v.walked("gif data", p, rows)
+        return p, -1 if p < 0 else None
 
+    return v.walked("gif", p, step)
 
-def jpeg_end(b: memoryview, at: int) -> int:
-    """After the end marker of a JPEG whose segments can be walked."""
-    p, scanned = at + 2, False
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
-            return -1
+
+MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)
+
+
+def jpeg_end(v: Value, at: int) -> int:
+    """After the end marker of a JPEG whose segments can be walked and that has a scan."""
+    b = v.b
+
+    def step(p: int, scanned: bool) -> tuple[int, int | None]:
+        if p + 2 > len(b) or b[p] != 0xFF:
+            return p, -1
         kind = b[p + 1]
+        if kind == 0xD9:
+            return p, p + 2 if scanned else -1
         if kind == 0xFF:
-            p += 1
-        elif kind == 0xD9:
-            return p + 2 if scanned else -1
-        elif 0xD0 <= kind <= 0xD7 or kind == 1:
-            p += 2
-        elif kind in (0, 0xD8):
-            return -1
-        else:
-            p += 2 + int.from_bytes(b[p + 2 : p + 4], "big")
-            if kind == 0xDA:
-                scanned = True
-                raw = bytes(b[p:])
-                k = 0
-                while (k := raw.find(b"\xff", k)) >= 0 and k + 1 < len(raw) and (raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7):
-                    k += 2
-                if k < 0 or k + 1 >= len(raw):
-                    return -1
-                p += k
-    return p + 2 if p + 2 == len(b) and scanned and bytes(b[p:]) == b"\xff\xd9" else -1
+            return p + 1, None
+        if 0xD0 <= kind <= 0xD7 or kind == 1:
+            return p + 2, None
+        if kind in (0, 0xD8) or p + 4 > len(b):
+            return p, -1
+        p += 2 + int.from_bytes(b[p + 2 : p + 4], "big")
+        if kind != 0xDA:
+            return p, None
+        m = MARKER.search(v.raw, p)
+        if not m or scanned:
+            return (m.start(), None) if m else (p, -1)
+        return p, v.walked("jpeg scanned", m.start(), lambda p: step(p, True))
+
+    return v.walked("jpeg", at + 2, lambda p: step(p, False))
 
 
 def riff_chunks(b: memoryview, at: int) -> Iterator[tuple[bytes, int, int]]:
@@ -111,8 +147,9 @@ def riff_chunks(b: memoryview, at: int) -> Iterator[tuple[bytes, int, int]]:
         p += 8 + n + (n & 1)
 
 
-def riff_end(form: bytes, needed: set[bytes]) -> Callable[[memoryview, int], int]:
-    def end(b: memoryview, at: int) -> int:
+def riff_end(form: bytes, needed: set[bytes]) -> Callable[[Value, int], int]:
+    def end(v: Value, at: int) -> int:
+        b = v.b
         if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) != form:
             return -1
         found = list(riff_chunks(b, at))
@@ -125,8 +162,9 @@ def riff_end(form: bytes, needed: set[bytes]) -> Callable[[memoryview, int], int
     return end
 
 
-def bmp_end(b: memoryview, at: int) -> int:
+def bmp_end(v: Value, at: int) -> int:
     """After a bitmap whose sizes fit each other."""
+    b = v.b
     if at + 54 > len(b):
         return -1
     size, data, head = (int.from_bytes(b[at + k : at + k + 4], "little") for k in (2, 10, 14))
@@ -138,8 +176,9 @@ def bmp_end(b: memoryview, at: int) -> int:
     return at + size if kind or data + (w * depth + 31) // 32 * 4 * abs(h) <= size else -1
 
 
-def gzip_end(b: memoryview, at: int) -> int:
+def gzip_end(v: Value, at: int) -> int:
     """After a gzip member that can be unpacked and whose sum is right."""
+    b = v.b
     d = zlib.decompressobj(31)
     try:
         p = at
@@ -154,18 +193,17 @@ def gzip_end(b: memoryview, at: int) -> int:
     return p - len(d.unused_data) if d.eof else -1
 
 
-def pdf_end(b: memoryview, at: int) -> int:
+def pdf_end(v: Value, at: int) -> int:
     """After the last end mark of a PDF with a cross-reference."""
-    raw = bytes(b[at:])
-    k = raw.rfind(b"%%EOF")
-    if k < 0 or raw.rfind(b"startxref", 0, k) < 0:
+    k, reference = v.pdf()
+    if reference < at:
         return -1
     k += 5
-    return at + k + (2 if raw[k : k + 2] == b"\r\n" else raw[k : k + 1] in (b"\n", b"\r"))
+    return k + (2 if v.raw[k : k + 2] == b"\r\n" else v.raw[k : k + 1] in (b"\n", b"\r"))
 
 
 #: Fixed values of the formats: type, magic bytes, validator.
-FORMATS: list[tuple[str, bytes, Callable[[memoryview, int], int]]] = [
+FORMATS: list[tuple[str, bytes, Callable[[Value, int], int]]] = [
     ("image/png", b"\x89PNG\r\n\x1a\n", png_end),
     ("image/jpeg", b"\xff\xd8\xff", jpeg_end),
     ("image/gif", b"GIF87a", gif_end),
@@ -188,10 +226,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def objects(value: bytes, a: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, start, length) of every valid object in value, by start."""
-    b, out = memoryview(value), []
+    v, out = Value(value), []
     for last, magic in a.iter(value.decode("latin-1")):
         at = last - len(magic) + 1
-        found = [(end - at, -k, kind) for k, (kind, m, check) in enumerate(FORMATS) if m == magic and (end := check(b, at)) > at]
+        found = [(end - at, -k, kind) for k, (kind, m, check) in enumerate(FORMATS) if m == magic and (end := check(v, at)) > at]
         if found:
             n, _, kind = max(found)
             out.append((kind, at, n))
@@ -276,11 +314,14 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from stored media."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, declared, media_type) from stored media.
+
+    media_type is the sniffed one, which corrects the declared one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"]
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
             for v in batch.column("media"):
@@ -288,13 +329,14 @@ def features(media: DataFrame) -> DataFrame:
                 payload, kind, inside = samples(m, a)
                 x = np.frombuffer(payload, np.uint8)
                 loud = int(np.abs(x.astype(np.int16) - 128).max())
+                out["media_type"].append(kind)
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(payload[-32:]))
                 out["media_bytes"].append(len(m))
                 out["media_sha256"].append(hashlib.sha256(m).hexdigest())
                 out["feature"].append(f"{kind};frames={len(x)};mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)};peak={loud};embedded={','.join(f'{k}@{s}+{n}' for k, s, n in inside)}")
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(out[n], k) for n, k in zip(names, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)), batch.column("declared")], names=["doc_id", "n_bytes", *names, "declared"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media", "declared").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, declared string")

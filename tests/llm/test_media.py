@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import wave
 import zlib
 
@@ -35,6 +36,14 @@ def test_types_are_found_and_damage_is_not():
     assert M.objects(b"BM RIFF GIF89a %PDF- \xff\xd8\xff \x1f\x8b\x08 text", a) == []
 
 
+def test_validators_take_linear_time():
+    a, n = M.automaton(), 60000
+    for raw in (b"%PDF-1 " * n, PDF * n, (b"\xff\xd8\xff\xda\x00\x02" + b"x" * 20) * n, (b"GIF89a" + bytes(7) + b"\x21\x01\x05") * n, (JPEG[:-2] + JPEG[8:-2]) * (n // 4), b"GIF89a" + bytes(7) + b"\x21\xff\x01a" * n):
+        began = time.monotonic()
+        M.objects(raw, a)
+        assert time.monotonic() - began < 15
+
+
 def test_correction_and_carving(spark):
     body = b"..".join(ALL[k] for k in ("image/png", "image/gif", "image/bmp", "application/gzip"))
     rows = [(1, "image/jpeg", bytearray(png())), (2, "x", bytearray(b"junk" + body + b"tail of more than sixteen bytes")), (3, "y", None), (4, "z", bytearray(b""))]
@@ -47,7 +56,8 @@ def test_correction_and_carving(spark):
 
 
 def test_round_trip(spark):
-    rows = [(1, None), (2, ""), (3, "a" * 576), (4, "é" * 288 + "b"), (5, "BM RIFF WAVE GIF89a text"), (6, "x" * 200_001), (6, "x" * 200_001)]
+    pdf = PDF.decode()
+    rows = [(1, None), (2, ""), (3, "a" * 576), (4, "é" * 288 + "b"), (5, "BM RIFF WAVE GIF89a text"), (6, "x" * 200_001), (6, "x" * 200_001), (7, "é" + pdf + "..." + pdf + "end")]
     got = M.features(M.stored(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -56,5 +66,8 @@ def test_round_trip(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
         w = wave.open(io.BytesIO(M.wav(full)))
         assert w.getsampwidth() == 1 and w.readframes(w.getnframes()) == full
-        assert (r.media_bytes, r.media_sha256) == (len(full) + 44, hashlib.sha256(M.wav(full)).hexdigest()) and r.feature.startswith("audio/wav;")
+        assert (r.media_bytes, r.media_sha256) == (len(full) + 44, hashlib.sha256(M.wav(full)).hexdigest())
+        inside = f"application/pdf@46+{2 * len(PDF) + 3},application/pdf@{49 + len(PDF)}+{len(PDF)}" if r.doc_id == 7 else ""
+        assert r.feature == f"audio/wav;frames={len(full)};mean={sum(full) * 1000 // len(full)};peak={max(abs(x - 128) for x in full)};embedded={inside}"
+        assert (r.declared, r.media_type) == ("text/plain", "audio/wav")
     assert M.features(M.stored(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
