@@ -12,17 +12,18 @@ than the shortest phrase are dropped: the index covers exactly the stretches in
 phrases can occur. Each shard is sorted by suffix (prefix doubling), its Burrows-Wheeler
 transform goes into a wavelet tree with sampled ranks, and all phrases of the block are
 searched backward together, word by word. Occurrences are located by walking to the
-sampled suffix positions, words there are compared with the phrase's bytes' hashes, and
-overlapping spans are merged per document.
+sampled suffix positions, the words there are compared with the phrase's byte by byte, and
+overlapping spans are merged per document. An item longer than a block is taken in parts that overlap by a window less one word.
+With more than one block, the documents are written once with a row number, so that each block's findings can be put together.
 
 Null texts have no words; an item without words has no phrase, one without an id is no item. Repeated rows
-are documents of their own; item ids are compared as strings. A row with a null doc_id is
-counted like others; the stage leaves its text as it is.
+are documents of their own; item ids are compared as strings; items with one id are one item. A row with a null doc_id is
+judged like others, and rows that share a doc_id each by their own text. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,39 +49,60 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.searchsorted(offs, start, "right") - 1, C.Prefixes(data).spans(start, end), start, end
 
 
+def equal_words(one: np.ndarray, start: np.ndarray, end: np.ndarray, i: np.ndarray, many: np.ndarray, first: np.ndarray, last: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the i-th words of one are the j-th words of many."""
+    return C.equal_spans(one, start[i], end[i] - start[i], many, first[j], last[j] - first[j])
+
+
 class Phrases:
     """The distinct phrases of a block of items, over the numbered vocabulary of the block.
 
-    Numbers start at 1; 0 is the separator.
+    Numbers start at 1; 0 is the separator. Words whose hashes agree have one number; phrases are told apart by their bytes.
     """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        texts = b"".join(t for _, t in items)
         offs = np.concatenate(([0], np.cumsum([len(t) for _, t in items]))).astype(np.int64)
-        row, h, _, _ = words(np.frombuffer(texts, np.uint8), offs)
-        self.vocabulary = np.unique(h)
-        number = np.searchsorted(self.vocabulary, h) + 1
+        self.data = C.LOWER[np.frombuffer(b"".join(t for _, t in items), np.uint8)]
+        row, h, self.start, self.end = words(self.data, offs)
+        self.vocabulary, first, number = np.unique(h, return_index=True, return_inverse=True)
+        exact = number
+        if not equal_words(self.data, self.start, self.end, np.arange(len(h)), self.data, self.start, self.end, first[number]).all():
+            seen: dict[bytes, int] = {}
+            exact = np.array([seen.setdefault(self.data[x:y].tobytes(), len(seen)) for x, y in zip(self.start.tolist(), self.end.tolist(), strict=True)])
+        number, exact = number.astype(np.int64) + 1, exact.astype(np.int64)
         found: dict[bytes, tuple[int, list[int]]] = {}
         self.words: list[np.ndarray] = []
         self.items: list[list[int]] = []
         self.names = [i for i, _ in items]
-        cut = np.searchsorted(row, np.arange(len(items) + 1))
+        spot: list[int] = []
+        cut = np.searchsorted(row, np.arange(len(items) + 1)).tolist()
         for k in range(len(items)):
-            w = number[cut[k] : cut[k + 1]].astype(np.int64)
-            for a in range(max(1, len(w) - window + 1) if len(w) else 0):
-                p = w[a : a + window]
-                at = found.setdefault(p.tobytes(), (len(self.words), []))
+            n = cut[k + 1] - cut[k]
+            for a in range(cut[k], cut[k] + (max(1, n - window + 1) if n else 0)):
+                b = min(a + window, cut[k + 1])
+                at = found.setdefault(exact[a:b].tobytes(), (len(self.words), []))
                 if at[0] == len(self.words):
-                    self.words.append(p)
+                    self.words.append(number[a:b])
                     self.items.append([])
+                    spot.append(a)
                 if not self.items[at[0]] or self.items[at[0]][-1] != k:
                     self.items[at[0]].append(k)
+        #: The number of each phrase's first word among all words of the block.
+        self.spot = np.array(spot, np.int64)
         self.size = np.array([len(p) for p in self.words], np.int64)
         self.shortest = int(self.size.min()) if len(self.size) else 0
         self.table = np.zeros((len(self.words), int(self.size.max()) if len(self.size) else 0), np.int64)
         for k, p in enumerate(self.words):
             self.table[k, : len(p)] = p
 
+    def stand(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether each phrase stands at that word of data, byte by byte."""
+        out = np.ones(len(phrase), bool)
+        for k in range(self.table.shape[1]):
+            use = np.flatnonzero(out & (k < self.size[phrase]))
+            out[use] = equal_words(data, start, end, word[use] + k, self.data, self.start, self.end, self.spot[phrase[use]] + k)
+        return out
+
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The number of each word hash, 0 outside the vocabulary."""
         if not len(self.vocabulary):
@@ -204,13 +226,7 @@ def occurrences(x: np.ndarray, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
     n = hi - lo
     phrase = np.repeat(np.arange(len(n)), n)
     row = np.arange(int(n.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n) + lo[phrase] if len(n) else np.zeros(0, np.int64)
-    place = index.locate(row)
-    ok = np.ones(len(place), bool)
-    for k in range(p.table.shape[1]):
-        use = np.flatnonzero(k < p.size[phrase])
-        at = place[use] + k
-        ok[use] &= index.x[np.minimum(at, len(index.x) - 1)] == p.table[phrase[use], k] + 1
-    return phrase[ok], place[ok]
+    return phrase, index.locate(row)
 
 
 def shard_hits(row: np.ndarray, number: np.ndarray, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,8 +251,14 @@ def shard_hits(row: np.ndarray, number: np.ndarray, p: Phrases) -> tuple[np.ndar
     return phrase, back[place], p.size[phrase]
 
 
-def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, spans: bool) -> DataFrame:
-    """For one block of items: doc_id, n_words, hit ranges of words, the items that occur."""
+PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, cut: str | None = None) -> DataFrame:
+    """For one block of items: doc_id, row_id, n_words, n_hit, hit (ranges of words) and the items that occur, of each row of docs.
+
+    With cut, the name of a column of docs, docs instead with the byte ranges of the hits put into that column.
+    """
     C.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(items)
     cache: dict[int, Phrases] = {}
@@ -245,13 +267,18 @@ def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, spans: bo
         p = cache.setdefault(0, Phrases(sent.value, window)) if 0 not in cache else cache[0]
 
         def shard(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-            base, rows, nums = 0, [], []
-            for r, _, _, n, num, _, _ in held:
+            base, far, rows, begin, finish = 0, 0, [], [], []
+            for r, _, data, n, _, start, end in held:
                 rows.append(r + base)
-                nums.append(num)
+                begin.append(start + far)
+                finish.append(end + far)
                 base += n
-            row, num = np.concatenate(rows), np.concatenate(nums)
+                far += len(data)
+            row, num = np.concatenate(rows), np.concatenate([x[4] for x in held])
             phrase, word, size = shard_hits(row, num, p)
+            if len(phrase):
+                right = p.stand(np.concatenate([x[2] for x in held]), np.concatenate(begin), np.concatenate(finish), phrase, word)
+                phrase, word, size = phrase[right], word[right], size[right]
             doc = row[word] if len(word) else word
             at = 0
             first_word = np.searchsorted(row, np.arange(base + 1))
@@ -260,37 +287,40 @@ def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, spans: bo
                 d, w, s, f = doc[mine] - at, word[mine], size[mine], phrase[mine]
                 order = np.lexsort((w, d))
                 d, w, s, f = d[order], w[order], s[order], f[order]
-                cut = np.searchsorted(d, np.arange(n + 1))
+                of = np.searchsorted(d, np.arange(n + 1))
                 merged, names, n_hit = [], [], []
                 for i in range(n):
-                    a, b = cut[i], cut[i + 1]
+                    a, b = of[i], of[i + 1]
                     spans_ = []
                     base_word = first_word[at + i]
                     for x, k in zip(w[a:b].tolist(), s[a:b].tolist(), strict=True):
-                        if spans_ and x <= spans_[-1][1]:
+                        if spans_ and x < spans_[-1][1] + (not cut):
                             spans_[-1][1] = max(spans_[-1][1], x + k)
                         else:
                             spans_.append([x, x + k])
                     n_hit.append(sum(y - x for x, y in spans_))
                     merged.append([(x - base_word, y - base_word) for x, y in spans_])
                     names.append(sorted({p.names[k] for q in set(f[a:b].tolist()) for k in p.items[q]}))
-                n_words = np.diff(first_word[at : at + n + 1])
-                cols = [rb.column("doc_id"), rb.column("row_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([[{"a": int(x), "b": int(y)} for x, y in m] for m in merged], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(names, pa.list_(pa.string()))]
-                names_ = ["doc_id", "row_id", "n_words", "n_hit", "hit", "items"]
-                if spans:
-                    local = [[{"a": int(start[first_word[at + i] - first_word[at] + x]), "b": int(end[first_word[at + i] - first_word[at] + y - 1])} for x, y in merged[i]] for i in range(n)]
-                    off = held_offs[id(rb)]
-                    local = [[{"a": s_["a"] - int(off[i]), "b": s_["b"] - int(off[i])} for s_ in local[i]] for i in range(n)]
-                    cols.append(pa.array(local, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))))
-                    names_.append("bytes")
-                yield pa.RecordBatch.from_arrays(cols, names=names_)
+                if cut:
+                    off, word0 = held_offs[id(rb)], first_word[at]
+                    have = rb.column(cut).to_pylist()
+                    for i in range(n):
+                        if merged[i]:
+                            base_word = first_word[at + i] - word0
+                            have[i] = united((have[i] or []) + [{"a": int(start[base_word + x] - off[i]), "b": int(end[base_word + y - 1] - off[i])} for x, y in merged[i]])
+                    yield pa.RecordBatch.from_arrays([pa.array(have, PAIRS) if c == cut else rb.column(c) for c in rb.schema.names], names=rb.schema.names)
+                else:
+                    n_words = np.diff(first_word[at : at + n + 1])
+                    pairs = pa.array([[{"a": int(x), "b": int(y)} for x, y in m] for m in merged], PAIRS)
+                    cols = [rb.column("doc_id"), rb.column("row_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pairs, pa.array(names, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_id", "n_words", "n_hit", "hit", "items"])
                 at += n
 
         held, size = [], 0
         held_offs: dict[int, np.ndarray] = {}
         for rows, data, offs in C.slices(batches):
             r, h, start, end = words(data, offs)
-            held.append((r, rows, h, len(offs) - 1, p.numbers(h), start if spans else None, end if spans else None))
+            held.append((r, rows, C.LOWER[data], len(offs) - 1, p.numbers(h), start, end))
             held_offs[id(rows)] = offs
             size += len(h)
             if size >= SHARD:
@@ -300,55 +330,89 @@ def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, spans: bo
         if held:
             yield from shard(held)
 
-    pair = "array<struct<a: long, b: long>>"
-    return docs.mapInArrow(run, f"doc_id long, row_id long, n_words long, n_hit long, hit {pair}, items array<string>" + f", bytes {pair}" * spans)
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most `most` bytes of text (or one item), one block on the driver at a time."""
+    if cut:
+        return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, "doc_id long, row_id long, n_words long, n_hit long, hit array<struct<a: long, b: long>>, items array<string>")
+
+
+def united(spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    """The union of spans as ascending disjoint ones."""
+    out: list[dict[str, int]] = []
+    for x in sorted(spans, key=lambda x: x["a"]):
+        if out and x["a"] <= out[-1]["b"]:
+            out[-1]["b"] = max(out[-1]["b"], x["b"])
+        else:
+            out.append(dict(x))
+    return out
+
+
+def parts(text: bytes, window: int, most: int) -> Iterator[bytes]:
+    """text, or where it is longer than most, stretches of about as many bytes that have its windows between them."""
+    if len(text) <= most:
+        yield text
+        return
+    data = np.frombuffer(text, np.uint8)
+    _, _, start, end = words(data, np.array([0, len(data)]))
+    a = 0
+    while a < len(start):
+        b = max(a + window, int(np.searchsorted(end, start[a] + most, "right")))
+        if len(start) - b < window:
+            b = len(start)
+        yield text[start[a] : end[b - 1]]
+        if b == len(start):
+            return
+        a = b - window + 1
+
+
+def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about `most` bytes of text at most, one block on the driver at a time."""
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).where("i is not null")
     for r in rows.toLocalIterator(prefetchPartitions=False):
-        if held and size + len(r.t) > most:
-            yield held
-            held, size = [], 0
-        held.append((r.i, bytes(r.t)))
-        size += len(r.t)
+        for t in parts(bytes(r.t), window, most):
+            if held and size + len(t) > most:
+                yield held
+                held, size = [], 0
+            held.append((r.i, t))
+            size += len(t)
     yield held
 
 
-def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, most: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, hit (merged word ranges) and items of each row of docs; with spans also the byte ranges."""
+def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, hit (merged word ranges) and items of each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("binary").alias("text"))
-    out, several = None, False
-    for block in blocks(benchmark, most):
-        one = hits(docs, block, window, spans)
-        several = out is not None
-        out = one if out is None else out.unionByName(one)
-    if not several:
-        return out
+    each = blocks(benchmark, most, window)
+    block, nxt = next(each), next(each, None)
+    if nxt is None:
+        return hits(docs, block, window)
+    docs = C.kept(docs)
+    out = hits(docs, block, window).unionByName(hits(docs, nxt, window))
+    for block in each:
+        out = out.unionByName(hits(docs, block, window))
     # The same document's ranges from several blocks: merged once more.
-    merge = """aggregate(array_sort(flatten(collect_list({0}))), cast(array() as array<struct<a: bigint, b: bigint>>), (s, x) ->
+    merge = """aggregate(array_sort(flatten(collect_list(hit))), cast(array() as array<struct<a: bigint, b: bigint>>), (s, x) ->
         if(size(s) > 0 and x.a <= element_at(s, -1).b, concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).a as a, greatest(element_at(s, -1).b, x.b) as b))), concat(s, array(x))))"""
-    agg = [F.expr(merge.format("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
-    if spans:
-        agg.append(F.expr(merge.format("bytes")).alias("bytes"))
-    out = out.groupBy("doc_id", "row_id", "n_words").agg(*agg)
+    out = out.groupBy("doc_id", "row_id", "n_words").agg(F.expr(merge).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return out.withColumn("n_hit", F.expr("aggregate(hit, 0L, (s, x) -> s + x.b - x.a)"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs (doc_id, text)."""
-    return found(docs, benchmark, window, most=most).select(
+    return found(docs, benchmark, window, most).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the bytes from the first to the last word of each merged span; texts without a span stay as they are."""
-    spans = found(docs, benchmark, window, spans=True).where("n_hit > 0").select(F.col("doc_id").alias("id"), F.col("bytes").alias("cut")).dropDuplicates(["id"])
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, F.col("doc_id") == F.col("id"))
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the bytes from the first to the last word of each span of its text, overlapping ones merged; texts without a span stay as they are.
+
+    Each row is judged by its own text and carries its spans through the blocks, so there is no join and doc_id doesn't matter.
+    """
+    cut = f"_{uuid.uuid4().hex}"
+    out = docs.withColumn("text", F.col("text").cast("string")).withColumn(cut, F.lit(None).cast("array<struct<a: bigint, b: bigint>>"))
+    for block in blocks(benchmark, most, window):
+        out = hits(out, block, window, cut)
     # The bytes between the spans: from each one's end to the next one's start.
-    raw = slim.select("doc_id", F.encode("text", "utf-8").alias("raw"), F.expr("transform(sequence(0, size(cut)), i -> struct(if(i = 0, 0L, cut[i - 1].b) as a, if(i = size(cut), cast(octet_length(text) as bigint), cut[i].a) as b))").alias("keep"))
-    rest = F.expr("decode(aggregate(keep, cast('' as binary), (s, x) -> concat(s, substring(raw, cast(x.a + 1 as int), cast(x.b - x.a as int)))), 'utf-8')")
-    return C.replaced(docs, raw.select("doc_id", rest.alias("text")))
+    rest = f"""decode(aggregate(transform(sequence(0, size({cut})), i -> struct(if(i = 0, 0L, {cut}[i - 1].b) as a, if(i = size({cut}), cast(octet_length(text) as bigint), {cut}[i].a) as b)),
+        cast('' as binary), (s, x) -> concat(s, substring(encode(text, 'utf-8'), cast(x.a + 1 as int), cast(x.b - x.a as int)))), 'utf-8')"""
+    return out.withColumn("text", F.when(F.size(F.coalesce(cut, F.array())) > 0, F.expr(rest)).otherwise(F.col("text"))).drop(cut)

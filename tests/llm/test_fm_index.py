@@ -70,7 +70,51 @@ def test_index_counts_and_places():
 def test_removal_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "Keep this. SECRET-phrase one! and this", "x"), (2, None, "y"), (3, "secret phrase two", "z")], "doc_id long, text string, n_words string")
     items = spark.createDataFrame([("i", "secret phrase one")], "item_id string, text string")
-    assert {tuple(x) for x in X.decontaminated(docs, items).collect()} == {(1, "Keep this. ! and this", "x"), (2, None, "y"), (3, "secret phrase two", "z")}
+    docs = docs.union(spark.createDataFrame([(None, "a secret phrase one b", "v"), (1, "Another secret phrase one", "w"), (3, "secret phrase two", "z")], docs.schema))
+    items = items.union(spark.createDataFrame([("j", "keep this")], items.schema))
+    want = [(1, ". ! and this", "x"), (2, None, "y"), (3, "secret phrase two", "z"), (None, "a  b", "v"), (1, "Another ", "w"), (3, "secret phrase two", "z")]
+    for most in (X.BLOCK_BYTES, 1):
+        assert sorted(map(repr, map(tuple, X.decontaminated(docs, items, most=most).collect()))) == sorted(map(repr, want))
     none = spark.createDataFrame([], "item_id string, text string")
     assert {x.n_hit for x in X.contamination(docs, none).collect()} == {0}
     assert X.contamination(docs.limit(0), items).collect() == []
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_are_compared_by_their_bytes(spark, monkeypatch):
+    one = thue_morse(1024)
+    two = one.translate({97: "b", 98: "a"})
+    nine = "p q r s t u v w x"
+    docs, items = [(1, f"{nine} {one} y"), (2, f"{nine} {two} y"), (3, f"{two} {nine} {two}")], [("i", f"{nine} {two}"), ("j", f"{one} {nine}")]
+
+    def check():
+        got = X.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+        assert {tuple(x) for x in got.collect()} == brute(docs, items)
+
+    check()
+    p = X.Phrases([(i, t.encode()) for i, t in items], 10)
+    # Even if all hashes of words of one length agreed.
+    monkeypatch.setattr(X.C.Prefixes, "spans", lambda self, start, end: (end - start).astype(np.uint64))
+    p = X.Phrases([(i, t.encode()) for i, t in items], 10)
+    assert len(p.vocabulary) == 2 and len(p.words) == 2
+    text = np.frombuffer(" ".join(t for _, t in docs).encode(), np.uint8)
+    row, h, start, end = X.words(text, np.array([0, len(text)]))
+    phrase, word, _ = X.shard_hits(row, p.numbers(h), p)
+    right = p.stand(text, start, end, phrase, word)
+    assert sorted(word[right].tolist()) == [11, 23] and len(word) > 2
+
+
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_long_items_are_taken_in_parts(spark, most):
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    item = prose(200)
+    w = item.split()
+    assert {tuple(p.split()[k : k + 10]) for p in X.parts(item.encode(), 10, most) for k in range(len(p.split()) - 9)} == {tuple(x.encode() for x in w[k : k + 10]) for k in range(191)}
+    docs = [(i, " ".join(w[a : a + r.randrange(5, 40)]) + " " + prose(3)) for i, a in enumerate(range(0, 195, 3))]
+    items = [("x", item), ("x", prose(12)), ("y", prose(5))]
+    got = X.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), most=most)
+    assert {tuple(x) for x in got.collect()} == brute(docs, items)
