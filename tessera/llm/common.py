@@ -62,16 +62,31 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def replaced(docs: DataFrame, new: DataFrame) -> DataFrame:
-    """docs with the text of new (doc_id, text) for the documents in it; all other rows and columns as they are.
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a column key: doc_id, or null where the row isn't the document of its doc_id.
 
-    A null doc_id is in no table. The names that the join needs are none of docs.
+    doc_id should be unique. Where rows share one but not the text, the document is that whose text has the least hash; rows that
+    repeat it whole are the document once more. doc_ids with several texts are few, so the join has a small side.
+    """
+    doc_id, h, low = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), f"_{uuid.uuid4().hex}"
+    several = docs.select(doc_id.alias(key), h.alias("h")).where(F.col(key).isNotNull()).groupBy(key).agg(F.min("h").alias(low), F.max("h").alias("high")).where(F.col(low) < F.col("high"))
+    several = kept(several.select(key, low))
+    if several.isEmpty():
+        return docs.withColumn(key, doc_id)
+    own = docs.withColumn(key, doc_id).join(several, key, "left")
+    return own.withColumn(key, F.when(F.coalesce(F.col(low), h) == h, F.col(key))).select(*(docs[c] for c in docs.columns), key)
+
+
+def replaced(docs: DataFrame, key: str, new: DataFrame) -> DataFrame:
+    """docs (with the key column of keyed) with the text of new (doc_id, text) for the documents in it; all other rows and columns as they are, without the key.
+
+    The names that the join needs are none of docs.
     """
     names = [f"_{uuid.uuid4().hex}" for _ in range(2)]
-    new = new.select(F.col("doc_id").alias(names[0]), F.col("text").alias(names[1])).where(F.col(names[0]).isNotNull()).dropDuplicates([names[0]])
-    joined = docs.join(new, docs["doc_id"] == new[names[0]], "left")
+    new = new.select(F.col("doc_id").alias(names[0]), F.col("text").alias(names[1])).dropDuplicates([names[0]])
+    joined = docs.join(new, docs[key] == new[names[0]], "left")
     text = F.when(F.col(names[0]).isNull(), docs["text"]).otherwise(F.col(names[1])).alias("text")
-    return joined.select(*(text if c == "text" else docs[c] for c in docs.columns))
+    return joined.select(*(text if c == "text" else docs[c] for c in docs.columns if c != key))
 
 
 def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

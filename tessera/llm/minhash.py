@@ -4,28 +4,32 @@ Five-word shingles of whole texts; documents are linked when 100 * intersection
 least `percent` * union. One pass makes per document its shingle count, a digest of its
 sorted shingle set, bands of full minima and a b-bit signature. Then:
 
-1. Documents with the same set digest collapse to their smallest doc_id.
-2. Band keys met by two documents or more are candidate buckets. Within a bucket, in
-   blocks of at most BLOCK, packed signatures are compared by bit counts; the estimate,
+1. Documents with the same words in the same order (SHA-256) collapse to their smallest doc_id.
+2. Band keys met by two documents or more are candidate buckets. Within a bucket of at most BLOCK,
+   packed signatures are compared by bit counts; the estimate,
    corrected for chance agreement of b bits, is held against a cut six standard
    deviations below the threshold. A spanning forest of what passes makes coarse groups:
-   supersets of the linked components. Blocks of one large bucket are tied together.
-3. Within coarse groups, links are confirmed on full shingle sets: every pair of a block
-   that isn't joined yet is counted exactly. Groups of more than one block then compare
-   the documents outside their largest class with all other blocks, so that no link is lost
-   and no task holds a group.
+   supersets of the linked components. The members of a larger bucket are one group without a comparison here.
+3. Within blocks of coarse groups, signatures are compared so too, and where an estimate passes, the link is
+   confirmed on full sets: words are numbered by their bytes, so that no hash decides.
+4. Groups of more than one block then compare the documents outside their largest class with those of other blocks that
+   share a shingle of the prefix with them: of n shingles, by rising frequency in the group, the first n - ceil(n * percent / 100) + 1,
+   one of which every linked pair has in common. So a common template brings no pairs together, no link is lost
+   and no task holds a group; pairs are looked at by lots and blocks, whatever the group's size.
 
 A pair at exactly `percent` shares no band with probability MISS at most: at 85 there are
 32 bands of 6 minima (3e-7), at 80 there are 38 of 5 (3e-7).
 
 Nulls, empty texts and texts without a word have an empty set and are linked with
-nothing. Repeated rows count as one document and are all returned; doc_id should be unique
-otherwise. A row with a null doc_id is no document: it has no component and is not kept.
+nothing. Repeated rows count as one document and are all returned. A row with a null doc_id, and one that isn't the document of
+its doc_id (common.keyed), is linked with nothing: without a doc_id it has no component and is not kept, otherwise
+it has its own. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,32 +47,73 @@ MULTIPLY = _r.integers(1 << 62, size=MINIMA, dtype=np.uint64) * C.U(2) + C.U(1)
 ADD = _r.integers(1 << 63, size=MINIMA, dtype=np.uint64)
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, end to end, and their n + 1 offsets."""
-    data = C.LOWER[data]
+def word_numbers(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of each word; two words have one number if they have the same bytes."""
     start, end = C.word_spans(data, offs, WORD)
     h = C.Prefixes(data).spans(start, end)
-    row = np.searchsorted(offs, start, "right") - 1
-    n = len(offs) - 1
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    if not C.equal_spans(data, start, end - start, data, start[first[number]], (end - start)[first[number]]).all():
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(data[x:y].tobytes(), len(seen)) for x, y in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.searchsorted(offs, start, "right") - 1, number.astype(np.int64)
+
+
+def _windows(row: np.ndarray, n: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, first word, width) of the shingles of n rows, from the row of each word."""
     per = np.bincount(row, minlength=n)
     first = np.concatenate(([0], np.cumsum(per)))
-    width = np.minimum(per, words)
     count = np.where(per > 0, np.maximum(per - words + 1, 1), 0)
-    total = int(count.sum())
     base = np.concatenate(([0], np.cumsum(count)))
     owner = np.repeat(np.arange(n), count)
-    at = np.arange(total) - base[owner] + first[owner]
-    s = width[owner].astype(np.uint64) * C.U(0x9E3779B97F4A7C15)
-    for k in range(words):
-        use = k < width[owner]
-        x = h[np.minimum(at + k, max(len(h) - 1, 0))] if len(h) else np.zeros(total, np.uint64)
-        s = np.where(use, C.mix(s + x), s)
+    return owner, np.arange(int(count.sum())) - base[owner] + first[owner], np.minimum(per, words)[owner]
+
+
+def _distinct(s: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner's different values in order, end to end, and their n + 1 offsets."""
     order = np.lexsort((s, owner))
     s, owner = s[order], owner[order]
-    new = np.ones(total, bool)
+    new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
-    s, owner = s[new], owner[new]
-    return s, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+    return s[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=n))))
+
+
+def exact_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+    """The set of shingles of each row, as numbers that are the same for the same words; data has lower case."""
+    n = len(offs) - 1
+    row, number = word_numbers(data, offs)
+    owner, at, width = _windows(row, n, words)
+    s = np.zeros(len(owner), np.int64)
+    for k in range(words):
+        word = np.where(k < width, number[np.minimum(at + k, len(number) - 1)] + 1, 0) if len(owner) else s
+        _, s = np.unique(s * (int(number.max(initial=0)) + 2) + word, return_inverse=True)
+    s, so = _distinct(s, owner, n)
+    return [s[a:b] for a, b in zip(so[:-1].tolist(), so[1:].tolist(), strict=True)]
+
+
+def shingles(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each row, end to end, and their n + 1 offsets."""
+    data = C.LOWER[data]
+    start, end = C.word_spans(data, offs, WORD)
+    h = C.Prefixes(data).spans(start, end)
+    n = len(offs) - 1
+    owner, at, width = _windows(np.searchsorted(offs, start, "right") - 1, n, words)
+    s = width.astype(np.uint64) * C.U(0x9E3779B97F4A7C15)
+    for k in range(words):
+        x = h[np.minimum(at + k, max(len(h) - 1, 0))] if len(h) else s
+        s = np.where(k < width, C.mix(s + x), s)
+    return _distinct(s, owner, n)
+
+
+def plain(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-case words of each row with one space between them, and the offsets of the rows."""
+    data = C.LOWER[data]
+    start, _ = C.word_spans(data, offs, WORD)
+    row = np.searchsorted(offs, start, "right") - 1
+    gap = start[1:][row[1:] == row[:-1]] - 1
+    keep = WORD[data]
+    keep[gap] = True
+    data[gap] = 0x20
+    return data[keep], np.concatenate(([0], np.cumsum(keep)))[offs]
 
 
 def minima(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -123,11 +168,11 @@ def banding(percent: int) -> tuple[int, int]:
     return MINIMA, 1
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
+SIGNED = "doc_id long, key long, n_shingles long, digest binary, sig binary, bands array<long>"
 
 
 def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Shingle count, set digest, signature and band keys of each row of docs (doc_id, text)."""
+    """Shingle count, digest of the words, signature and band keys of each row of docs (doc_id, key, text)."""
     C.small_batches(docs.sparkSession)
     bands, width = banding(percent)
 
@@ -143,23 +188,21 @@ def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for r in range(width):
                 keys = C.mix(keys * C.U(0x9E3779B97F4A7C15) + least[:, r : bands * width : width] + C.U(r + 1))
             keys = C.mix(keys + np.arange(bands, dtype=np.uint64))
-            start = so[:-1][n > 0]
-            digest = np.zeros((len(n), 2), np.uint64)
-            if len(have):
-                digest[have, 0] = C.mix(np.add.reduceat(C.mix(s + C.U(1)), start) + n[have].astype(np.uint64))
-                digest[have, 1] = np.add.reduceat(C.mix(s ^ C.U(0xA5A5A5A5A5A5A5A5)), start)
+            words, wo = plain(data, offs)
+            raw = words.tobytes()
+            digest = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(wo[:-1].tolist(), wo[1:].tolist(), strict=True)]
             signature = np.zeros((len(n), wide), np.uint8)
             signature[have] = sig
             full = np.where(n > 0, bands, 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id"), pa.array(n, pa.int64()), C.binaries(digest.view(np.uint8).ravel(), np.arange(len(n) + 1) * 16), C.binaries(signature.ravel(), np.arange(len(n) + 1) * wide),
+                    rows.column("doc_id"), rows.column("key"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), C.binaries(signature.ravel(), np.arange(len(n) + 1) * wide),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full))), pa.int32()), pa.array(keys.view(np.int64).ravel())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sig", "bands"],
+                names=["doc_id", "key", "n_shingles", "digest", "sig", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -209,11 +252,11 @@ def _signatures(col: pa.ChunkedArray) -> np.ndarray:
 
 
 def coarse(buckets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the pairs of a bucket's block whose estimate passes the cut."""
+    """Edges (a, b) of a spanning forest of the pairs of a bucket whose estimate passes the cut."""
     least = cut(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("key", "block")):
+        for t in _groups(batches, ("key",)):
             ids = np.asarray(t.column("doc_id"))
             if len(ids) < 2:
                 continue
@@ -230,7 +273,7 @@ def coarse(buckets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(ids[root[use]])], names=["a", "b"])
 
     n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = buckets.repartition(n, "key", "block").sortWithinPartitions("key", "block", "doc_id")
+    dealt = buckets.repartition(n, "key").sortWithinPartitions("key", "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -274,29 +317,31 @@ def linked(one: list[np.ndarray], many: list[np.ndarray], percent: int) -> np.nd
     return 100 * both >= percent * (sizes - both)
 
 
-def _sets(t: pa.Table) -> list[np.ndarray]:
-    data, offs = C.flat(t.column("shingles"))
-    return [data[a:b].view(np.uint64) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-
-
 def confirmed(units: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) from units of rows (unit, part, doc_id, class, shingles) with confirmed links.
+    """Edges (a, b) from units of rows (unit, part, doc_id, class, sig, words) with confirmed links.
 
     part 0 rows of a unit are compared with each other where the unit has no part 1
     rows, else with those; pairs of one class are skipped. The edges span what is linked.
     """
+    least = cut(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ("unit",)):
             ids, part, cls = (np.asarray(t.column(c)) for c in ("doc_id", "part", "class"))
-            sets = _sets(t)
-            found = Classes(len(ids))
-            for same in ([i for i in range(len(ids)) if cls[i] == c] for c in set(cls.tolist())):
-                for i in same[1:]:
-                    found.join(same[0], i)
             rows = np.flatnonzero(part == 0)
             cols = np.flatnonzero(part == 1) if (part == 1).any() else rows
-            x, y = np.nonzero(linked([sets[i] for i in rows], [sets[i] for i in cols], percent))
+            sig = _signatures(t.column("sig"))
+            near = (estimates(sig[rows], sig[cols]) >= least) & (cls[rows][:, None] != cls[cols][None, :])
+            rows, cols, near = rows[near.any(1)], cols[near.any(0)], near[near.any(1)][:, near.any(0)]
+            if not near.size:
+                continue
+            use = np.union1d(rows, cols)
+            sets = dict(zip(use.tolist(), exact_sets(*C.flat(t.column("words").take(pa.array(use)))), strict=True))
+            found = Classes(len(ids))
+            _, first, lot = np.unique(cls, return_index=True, return_inverse=True)
+            for i, k in enumerate(first[lot].tolist()):
+                found.join(k, i)
+            x, y = np.nonzero(near & linked([sets[i] for i in rows.tolist()], [sets[i] for i in cols.tolist()], percent))
             edges = []
             for i, j in zip(rows[x].tolist(), cols[y].tolist(), strict=True):
                 if found.root(i) != found.root(j):
@@ -310,61 +355,88 @@ def confirmed(units: DataFrame, percent: int) -> DataFrame:
     return units.repartition(n, "unit").sortWithinPartitions("unit", "part", "doc_id").mapInArrow(run, "a long, b long")
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """The shingle set of each row as sorted 8-byte words, beside its other columns but text."""
+def _by_slices(docs: DataFrame, name: str, kind: str, made: Callable[[np.ndarray, np.ndarray], pa.Array]) -> DataFrame:
+    """docs with what is made of text instead of it."""
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.slices(batches):
-            s, so = shingles(data, offs)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), C.binaries(s.view(np.uint8), so * 8)], names=[*rest, "shingles"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), made(data, offs)], names=[*rest, name])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", shingles binary")
+    return docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in rest) + f", {name} {kind}")
+
+
+def worded(docs: DataFrame) -> DataFrame:
+    """The words of each row, beside its other columns but text."""
+    return _by_slices(docs, "words", "binary", lambda data, offs: C.binaries(*plain(data, offs)))
+
+
+def _hash_lists(data: np.ndarray, offs: np.ndarray) -> pa.Array:
+    s, so = shingles(data, offs)
+    return pa.ListArray.from_arrays(pa.array(so, pa.int32()), pa.array(s.view(np.int64)))
+
+
+def prefixes(large: DataFrame, percent: int) -> DataFrame:
+    """(component, doc_id, s): the rarest shingles within the component of each row of large (component, doc_id, words)."""
+    every = _by_slices(large.select("component", "doc_id", F.col("words").alias("text")), "s", "array<long>", _hash_lists)
+    every = C.kept(every.select("component", "doc_id", F.explode("s").alias("s")))
+    often = C.kept(every.groupBy("component", "s").agg(F.count(F.lit(1)).alias("n")))
+    # A group is one document's shingles.
+    each = every.join(often, ["component", "s"]).groupBy("component", "doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("x"))
+    most = F.size("x") - F.ceil(F.size("x") * percent / 100).cast("int") + 1
+    return each.select("component", "doc_id", F.explode(F.slice("x", F.lit(1), most)).alias("x")).select("component", "doc_id", F.col("x.s").alias("s"))
+
+
+def across(large: DataFrame, percent: int) -> DataFrame:
+    """Units of strays, the documents outside the largest class of their component, and those of a block that share a prefix shingle with them.
+
+    large: (doc_id, component, n, block, class, sig, words) of components of more than one block.
+    """
+    held = large.groupBy("component", "class").agg(F.count(F.lit(1)).alias("m"))
+    main = held.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("main"), (F.sum("m") - F.max("m")).alias("strays"))
+    main = C.kept(main.where("strays > 0"))
+    lot = F.when(F.col("class") != F.col("main"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.ceil(F.col("strays") / STRAYS)))
+    large = C.kept(large.join(main, "component").withColumn("lot", lot).drop("main", "strays"))
+    rare = C.kept(prefixes(large, percent).join(large.select("doc_id", "block", "lot"), "doc_id"))
+    lots = C.kept(rare.where("lot is not null").select("component", "s", "lot").distinct())
+    blocks = C.kept(rare.join(lots.select("component", "s").distinct(), ["component", "s"], "left_semi").select("component", "s", "block").distinct())
+    here = rare.drop("lot").join(lots, ["component", "s"]).select("component", "block", "lot", "doc_id").distinct().withColumn("part", F.lit(1))
+    there = rare.where("lot is not null").drop("block").join(blocks, ["component", "s"]).select("component", "block", "lot", "doc_id").distinct().withColumn("part", F.lit(0))
+    shape = large.select("doc_id", "class", "sig", "words")
+    return here.unionByName(there).join(shape, "doc_id").select(F.xxhash64("component", "block", "lot").alias("unit"), "part", "doc_id", "class", "sig", "words")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = C.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "key")
     every = C.kept(signed(docs, percent))
-    full = every.where("n_shingles > 0 and doc_id is not null")
+    full = every.where("n_shingles > 0 and key is not null").select(F.col("key").alias("doc_id"), "digest", "sig", "bands")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     alone = full.join(reps, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     banded = alone.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", "key")
     crowded = C.kept(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
     met = C.kept(banded.join(crowded, "key"))
-    block = F.when(F.col("n") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)))
     tied = met.where(f"n > {BLOCK}").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     sigs = full.select("doc_id", "sig").join(met.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = met.where(f"n <= {BLOCK}").select("doc_id", "key", block.cast("long").alias("block")).join(sigs, "doc_id")
+    buckets = met.where(f"n <= {BLOCK}").select("doc_id", "key").join(sigs, "doc_id")
     groups = C.kept(C.components(coarse(buckets, percent).unionByName(tied)).withColumnRenamed("id", "doc_id"))
     # Written, so that joins on a component have plain exchanges, whose skewed partitions Spark splits.
     sizes = C.kept(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}"))
     groups = groups.join(sizes, "component", "left").select("doc_id", "component", F.coalesce("n", F.lit(1)).alias("n"))
-    sets = C.kept(shingled(docs.join(groups, "doc_id").dropDuplicates(["doc_id"])))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
-    inside = confirmed(sets.select(F.xxhash64("component", "block").alias("unit"), F.lit(0).alias("part"), "doc_id", F.col("doc_id").alias("class"), "shingles"), percent)
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    texts = docs.select(F.col("key").alias("doc_id"), "text").join(groups, "doc_id").dropDuplicates(["doc_id"])
+    sets = C.kept(worded(texts.join(sigs, "doc_id").select("doc_id", "component", "n", block, "sig", F.col("text").cast("binary").alias("text"))))
+    inside = confirmed(sets.select(F.xxhash64("component", "block").alias("unit"), F.lit(0).alias("part"), "doc_id", F.col("doc_id").alias("class"), "sig", "words"), percent)
     links = C.kept(inside)
-    if sets.where("n > %d" % BLOCK).limit(1).count():
-        large = sets.where("n > %d" % BLOCK)
+    if not sizes.isEmpty():
         classes = C.components(links).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "class")
-        large = C.kept(large.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")))
-        held = large.groupBy("component", "class").agg(F.count(F.lit(1)).alias("m"))
-        main = C.kept(held.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("main")))
-        strays = large.join(main, "component").where("class <> main")
-        many = C.kept(strays.groupBy("component").agg(F.count(F.lit(1)).alias("strays")))
-        strays = strays.join(many, "component").withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.ceil(F.col("strays") / STRAYS)))
-        unit = F.xxhash64("component", "block", "lot").alias("unit")
-        here = large.join(many, "component").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("strays") / STRAYS) - 1)))
-        there = strays.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        shape = ["doc_id", "class", "shingles"]
-        units = here.select(unit, F.lit(1).alias("part"), *shape).unionByName(there.select(unit, F.lit(0).alias("part"), *shape))
-        links = links.unionByName(C.kept(confirmed(units, percent)))
+        large = C.kept(sets.where(f"n > {BLOCK}").join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")))
+        links = links.unionByName(C.kept(confirmed(across(large, percent), percent)))
     found = C.components(links).withColumnRenamed("id", "rep")
     classes = C.kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    out = every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    cid = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = every.select("doc_id", "key", "n_shingles", "digest").join(classes, "digest", "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("key").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -23,15 +23,15 @@ sort, so they are dealt by content:
    copies of a passage, or with the contexts it stands in.
 
 A null text is empty. Texts shorter than `length` keep all bytes. Repeated rows are
-copies of each other like any other rows with equal texts. doc_id should be unique: spans found in one of several
-texts with one doc_id are taken from all of them. A
-row with a null doc_id is no document: it keeps its bytes and is nobody's other place.
+copies of each other like any other rows with equal texts. A row with a null doc_id, and one that isn't the document of
+its doc_id (common.keyed), is no document: it keeps its bytes and is nobody's other place.
 Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -462,13 +462,17 @@ def cuts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, full: int = FULL) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text)."""
+    docs = C.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "key")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
-    out = out.join(cuts(docs, length, gram, full=full).drop("kept_text"), "doc_id", "left")
+    out = docs.select("key", F.col("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
+    found = cuts(docs.select(F.col("key").alias("doc_id"), "text"), length, gram, full=full).select(F.col("doc_id").alias("key"), "took", "count", "sha")
+    out = out.join(found, "key", "left")
     took = F.when(F.col("took") == -1, F.col("n_bytes")).otherwise(F.coalesce("took", F.lit(0)))
     return out.select("doc_id", "n_bytes", took.alias("n_removed"), F.coalesce("count", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the repeated bytes out of text (bytes of a character that was cut through go too)."""
-    return C.replaced(docs, cuts(docs, length, gram, texts=True).select("doc_id", F.col("kept_text").alias("text")))
+    key = f"_{uuid.uuid4().hex}"
+    docs = C.keyed(docs, key)
+    return C.replaced(docs, key, cuts(docs.select(F.col(key).alias("doc_id"), "text"), length, gram, texts=True).select("doc_id", F.col("kept_text").alias("text")))

@@ -1,7 +1,9 @@
 import random
 import re
 
-from tessera.llm import minhash as M
+import numpy as np
+
+from tessera.llm import common as C, minhash as M
 
 
 def brute(rows, percent=85):
@@ -71,3 +73,49 @@ def test_slices_without_a_shingle(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == set()
+
+
+def test_a_common_template_brings_no_pairs_together(spark, monkeypatch):
+    """All documents share 85 % of their words, so every bucket is crowded; only few are linked."""
+    monkeypatch.setattr(M, "BLOCK", 16)
+    r = random.Random(5)
+    template = [f"t{k}" for k in range(200)]
+    own = lambda i: [f"x{i}_{k}" for k in range(36)]
+    data = [(i, " ".join(template + own(i))) for i in range(120)]
+    data += [(200 + i, " ".join(template + own(i) + ["more"])) for i in range(0, 120, 7)]
+    for i in range(500, 540):
+        w = template + own(i % 5)
+        w[r.randrange(len(w))] = f"n{i}"
+        data.append((i, " ".join(w)))
+    units = []
+    across = M.across
+    monkeypatch.setattr(M, "across", lambda *a: units.append(C.kept(across(*a))) or units[-1])
+    assert run(spark, data) == brute(data)
+    assert units and units[0].count() < 4 * len(data)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    base = " ".join(f"w{k}" for k in range(50))
+    data = [(1, base), (1, base), (2, base + " x"), (3, "other text"), (3, base + " y"), (None, base), (None, None), (4, None), (4, None)]
+    df = spark.createDataFrame([(*x, 7, "k") for x in data], "doc_id long, text string, component long, key string")
+    got = M.near_duplicates(df).collect()
+    assert len(got) == len(data)
+    assert {(x.component_id, x.kept) for x in got if x.doc_id is None} == {(None, False)}
+    assert {tuple(x) for x in got if x.doc_id in (1, 2, 4)} == {(1, 46, 1, True), (2, 47, 1, False), (4, 0, 4, True)}
+    assert all(x.component_id in (1, 3) for x in got if x.doc_id == 3)
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_are_compared_by_their_bytes(spark, monkeypatch):
+    one = thue_morse(1024)
+    two = one.translate({97: "b", 98: "a"})
+    data = [(1, one), (2, two), (3, f"p q r s {one} t u v"), (4, f"p q r s {two} t u v"), (5, f"p q r s {two} t u v"), (6, two + " ")]
+    assert run(spark, data) == brute(data)
+    # Even if all hashes of words of one length agreed, sets are exact.
+    monkeypatch.setattr(C.Prefixes, "spans", lambda self, start, end: (end - start).astype(np.uint64))
+    texts = [b"ab cd ef gh ij kl", b"ab cd ef gh ij kl", b"zz cd ef gh ij kl", b"ab", b"zz"]
+    sets = M.exact_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    assert [[len(np.intersect1d(a, b)) for b in sets] for a in sets] == [[2, 2, 1, 0, 0], [2, 2, 1, 0, 0], [1, 1, 2, 0, 0], [0, 0, 0, 1, 0], [0, 0, 0, 0, 1]]
