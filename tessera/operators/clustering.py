@@ -8,6 +8,7 @@ restarts of a search are rows, each of which any task can take.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scale import scaled
-from ..plans.iterate import components, kept
+from ..plans.iterate import components, kept, scope
 from . import regions as R
 from .geometry import area, perimeter
 from .weights import Weights
@@ -324,25 +325,48 @@ def compactness(layer: DataFrame, clusters: DataFrame) -> DataFrame:
     return s.select("cluster", "area", "perimeter", (4 * F.pi() * F.try_divide(F.col("area"), F.col("perimeter") * F.col("perimeter"))).alias("ipc"))
 
 
+#: Units of each cluster from which paths are searched at once.
+SOURCES = 16
+
+
 def diameter(clusters: DataFrame, w: Weights) -> DataFrame:
     """(cluster, steps, ratio): the longest shortest path within each cluster, and over its size.
 
-    All shortest paths within clusters by frontiers: in round s each unit's ball grows by a step.
+    A unit's eccentricity is bounded from both sides by its distance to units whose eccentricity is known. In each round paths
+    are searched from SOURCES units of each cluster, those with the highest bounds, until no unit
+    can be farther from another than what has been found; so a round holds SOURCES rows a unit, and not all pairs.
     """
-    c = clusters.select("id", "cluster")
-    same = kept(_links(clusters, w).where("ci = cj").select("i", "j"))
-    seen = frontier = kept(c.select(F.col("id").alias("a"), F.col("id").alias("i")))
-    best = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("steps"))
-    s = 0
+    with scope() as needed:
+        return needed(kept(_diameter(clusters, w)))
+
+
+def _diameter(clusters: DataFrame, w: Weights) -> DataFrame:
+    c = kept(clusters.select("id", "cluster"))
+    same = kept(_links(c, w).where("ci = cj").select("i", "j"))
+    size = kept(c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+    # Bounds of each unit that may still matter; the first sources are any units, later ones by their bounds.
+    open_ = kept(c.join(size, "cluster").select("id", "cluster", F.lit(0).cast("bigint").alias("low"), F.col("n").alias("high")))
+    best = kept(size.select("cluster", F.lit(0).cast("bigint").alias("steps")))
     while True:
-        s += 1
-        frontier = kept(frontier.join(same, "i").select("a", F.col("j").alias("i")).distinct().join(seen, ["a", "i"], "left_anti"))
-        if frontier.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("high"), "low", F.xxhash64("id"), "id"))
+        sources = kept(open_.withColumn("k", rank).where(F.col("k") <= SOURCES).select("id", "cluster"))
+        if sources.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-        grew = frontier.select(F.col("a").alias("id")).distinct().join(c, "id").select("cluster").distinct().withColumn("more", F.lit(s))
-        best = kept(best.join(grew, "cluster", "left").select("cluster", "n", F.coalesce("more", "steps").alias("steps")))
-    return best.select("cluster", "steps", (F.col("steps") / F.col("n")).alias("ratio"))
+        frontier = kept(sources.select(F.col("id").alias("a"), F.col("id").alias("i"), F.lit(0).cast("bigint").alias("d")))
+        seen = frontier
+        while True:
+            step = frontier.join(same, "i").select("a", F.col("j").alias("i"), (F.col("d") + 1).alias("d")).distinct()
+            frontier = kept(step.join(seen, ["a", "i"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+        far = kept(seen.groupBy("a").agg(F.max("d").alias("far")))
+        best = kept(best.join(far.join(sources, F.col("a") == F.col("id")).groupBy("cluster").agg(F.max("far").alias("now")), "cluster", "left").select("cluster", F.greatest("steps", F.coalesce("now", "steps")).alias("steps")))
+        near = seen.join(far, "a").groupBy(F.col("i").alias("id")).agg(F.max(F.greatest("d", F.col("far") - F.col("d"))).alias("above"), F.min(F.col("far") + F.col("d")).alias("below"))
+        rest = open_.join(sources.select("id"), "id", "left_anti").join(near, "id", "left").join(best, "cluster")
+        rest = rest.select("id", "cluster", F.greatest("low", F.coalesce("above", "low")).alias("low"), F.least("high", F.coalesce("below", "high")).alias("high"), "steps")
+        open_ = kept(rest.where("high > steps").drop("steps"))
+    return best.join(size, "cluster").select("cluster", F.col("steps").cast("int").alias("steps"), (F.col("steps") / F.col("n")).alias("ratio"))
 
 
 def spatial_validation(layer: DataFrame, clusters: DataFrame, w: Weights) -> dict[str, DataFrame | None]:
@@ -357,22 +381,50 @@ def spatial_validation(layer: DataFrame, clusters: DataFrame, w: Weights) -> dic
 
 
 def make_spatial(clusters: DataFrame, w: Weights) -> DataFrame:
-    """(id, cluster): each cluster's largest connected part keeps its id; the units of other parts
-    join, from their edges inwards, the adjacent cluster they have most links to (ties: the smallest id).
-    Units that no cluster reaches keep theirs."""
+    """(id, cluster): each cluster's largest connected part keeps its id; the other parts move as a whole.
+
+    The smallest part moves first (then that of the smallest cluster, then that with the smallest id), to the adjacent cluster that is largest
+    at that time, counting what has moved; ties go to that with most links, then to the smallest id. A part that no cluster
+    reaches yet waits for the next round; one that none ever reaches keeps its cluster. Parts, not units, go
+    to the driver, UNITS at most.
+    """
     if clusters.count() != w.nodes.count():
         raise ValueError("there must be a cluster for each unit")
     p = kept(pieces(clusters, w))
-    size = p.groupBy("cluster", "piece").agg(F.count(F.lit(1)).alias("n"))
-    main = size.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "piece"))).where("k = 1").select("cluster", "piece")
-    done = kept(p.join(main, ["cluster", "piece"], "left_semi").select("id", "cluster"))
-    todo = kept(p.join(main, ["cluster", "piece"], "left_anti").select("id", F.col("cluster").alias("was")))
-    e = w.edges.where("i <> j").select("i", "j")
-    while True:
-        reach = e.join(todo.select(F.col("id").alias("i")), "i").join(done.select(F.col("id").alias("j"), "cluster"), "j").groupBy(F.col("i").alias("id"), "cluster").agg(F.count(F.lit(1)).alias("n"))
-        new = kept(reach.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "cluster")).alias("m")).select("id", "m.cluster"))
-        if new.isEmpty():
+    size = kept(p.groupBy("cluster", "piece").agg(F.count(F.lit(1)).alias("n")))
+    main = size.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "piece")))
+    main = kept(main.select("cluster", "piece", "n", (F.col("k") == 1).alias("main")))
+    if (n := main.where("not main").count()) > UNITS:
+        raise ValueError(f"{n} separate parts; at most {UNITS} can be moved")
+    end = lambda who, name: p.join(main.drop("n"), ["cluster", "piece"]).select(F.col("id").alias(who), F.col("piece").alias(name), F.when(F.col("main"), F.col("cluster")).alias(f"{name}_main"))
+    links = w.edges.where("i <> j").select("i", "j").join(end("i", "a"), "i").join(end("j", "b"), "j").where("a <> b and a_main is null")
+    links = links.groupBy("a", "b_main", F.when(F.col("b_main").isNull(), F.col("b")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = main.where("not main").collect()
+    settled = {r.cluster: r.n for r in main.where("main").collect()}
+    total = Counter(settled)
+    for r in rows:
+        total[r.cluster] += r.n
+    near: dict = defaultdict(list)
+    for r in links:
+        near[r.a].append((r.b_main, r.b, r.n))
+    todo = sorted(rows, key=lambda r: (r.n, total[r.cluster], r.piece))
+    to: dict = {}
+    while todo:
+        wait = []
+        for r in todo:
+            met: Counter = Counter()
+            for cluster, piece, n in near[r.piece]:
+                cluster = cluster if piece is None else to.get(piece)
+                if cluster is not None:
+                    met[cluster] += n
+            if not met:
+                wait.append(r)
+                continue
+            to[r.piece] = best = min(met, key=lambda c: (-settled[c], -met[c], c))
+            settled[best] += r.n
+        if len(wait) == len(todo):
             break
-        done = kept(done.unionByName(new))
-        todo = kept(todo.join(new, "id", "left_anti"))
-    return done.unionByName(todo.select("id", F.col("was").alias("cluster")))
+        todo = wait
+    kind = dict(p.dtypes)
+    moved = p.sparkSession.createDataFrame(list(to.items()), f"piece {kind['piece']}, to {kind['cluster']}")
+    return p.join(moved, "piece", "left").select("id", F.coalesce("to", "cluster").alias("cluster"))

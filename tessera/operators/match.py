@@ -9,23 +9,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scale import scaled
-from ..plans.iterate import kept
-from .weights import knn_weights
+from ..plans.iterate import kept, scope
+from .weights import knn_weights, nearest_in, squares
 
 DISTANCES = ("euclidean", "manhattan")
-#: Rows that are sent to all tasks at once.
-BLOCK = 1 << 15
+#: Columns up to which nested cells prune (a cell has 3 ** FEW with those around it).
+FEW = 4
+#: Beyond that, rows that are sent to all tasks at once, and the most rows that are held against all.
+BLOCK, MOST = 1 << 15, 1 << 18
 
 
 def attribute_nearest(data: DataFrame, columns: list[str], k: int, distance_method: str = "euclidean") -> DataFrame:
     """(i, j, d, rank): the k rows nearest in the columns, ties by id; rows with a null are left out.
 
-    In many dimensions no grid prunes, so all rows are held against all: in blocks of
-    BLOCK rows, each sent to the tasks, which keep the k best of it. Work grows with the
-    square of the rows; memory and what is sent at once don't grow.
+    With up to FEW columns the search is that of points, on nested cells. In more dimensions no cells prune, so rows
+    are held against all: in blocks of BLOCK rows, each sent to the tasks, which keep the k best of
+    it. That work grows with the square of the rows, so it is refused beyond MOST rows.
     """
     if distance_method not in DISTANCES:
         raise ValueError(f"distance_method must be one of {', '.join(DISTANCES)}")
+    if len(columns) <= FEW:
+        dims = [f"v{n}" for n in range(len(columns))]
+        p = data.select("id", *((F.col(c).cast("double") + F.lit(0.0)).alias(v) for c, v in zip(columns, dims, strict=True)))
+        manhattan = lambda ds: sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ds), F.lit(0.0))
+        with scope() as needed:
+            out = needed(kept(nearest_in(p, dims, k, squares if distance_method == "euclidean" else manhattan, distance_method == "euclidean")))
+        return out.select("i", "j", (F.sqrt("s") if distance_method == "euclidean" else F.col("s")).alias("d"), "rank")
+    if (n := data.count()) > MOST:
+        raise ValueError(f"{n} rows in {len(columns)} columns; with over {FEW} columns at most {MOST} rows are held against each other")
     x = data.select("id", *(F.col(c).cast("double").alias(f"v{n}") for n, c in enumerate(columns))).na.drop()
     x = kept(x.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-x.count() // BLOCK))))))
     out = None

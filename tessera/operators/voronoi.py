@@ -52,7 +52,8 @@ def adjacent(layer: DataFrame, rook: bool) -> DataFrame:
     p = kept(with_points(layer).where("x is not null and y is not null"))
     b = p.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count_distinct("x", "y").alias("n")).first()
     if not b.n or b.n == 1:
-        return p.select(F.col("id").alias("i"), F.col("id").alias("j")).join(p.select(F.col("id").alias("k")), F.col("j") != F.col("k")).select("i", F.col("k").alias("j"))
+        # All points at one place: each is the neighbour of all others, so the result itself has all pairs.
+        return p.select(F.col("x"), F.col("id").alias("i")).join(p.select(F.col("x"), F.col("id").alias("j")), "x").where("i <> j").select("i", "j")
     wide = max(b.x1 - b.x0, b.y1 - b.y0)
     m = MARGIN * wide
     box = np.array([b.x0 - m, b.y0 - m, b.x1 + m, b.y1 + m])

@@ -1,19 +1,20 @@
 """Spatial weights: constructors, accessors, lag.
 
-Weights are two DataFrames: nodes (id) and edges (i, j, w). Nodes without edges are isolates
+Weights are two DataFrames: nodes (id, and for kernels the diagonal) and edges (i, j, w). Nodes without edges are isolates
 and stay in every result. All constructors are equi-joins on keys that Catalyst can shuffle:
-contiguity on vertices or edges, distance bands on grid cells, nearest neighbours on grids
-that grow for the points which are not yet settled. None collects rows or joins all pairs.
+contiguity on vertices or edges, distance bands on grid cells, nearest neighbours on nested cells,
+fine where points are dense. None collects rows or joins all pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..plans.iterate import kept
+from ..plans.iterate import kept, scope
 from .geometry import segments, with_points
 
 EARTH_MILES, EARTH_KM = 3959.0, 6371.0
@@ -119,12 +120,9 @@ def _space(layer: DataFrame, is_arc: bool) -> tuple[DataFrame, list[str]]:
     return p.select("id", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")), ["x", "y", "z"]
 
 
-def _distance(dims: list[str], is_arc: bool, is_mile: bool) -> Column:
-    """Of columns a_<dim> and b_<dim>: Euclidean, or along the great circle."""
-    chord = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in dims), F.lit(0.0)))
-    if not is_arc:
-        return chord
-    return 2 * (EARTH_MILES if is_mile else EARTH_KM) * F.asin(F.least(chord / 2, F.lit(1.0)))
+def _length(chord: Column, is_arc: bool, is_mile: bool) -> Column:
+    """Of a chord in _space: itself, or along the great circle."""
+    return 2 * (EARTH_MILES if is_mile else EARTH_KM) * F.asin(F.least(chord / 2, F.lit(1.0))) if is_arc else chord
 
 
 def _reach(d: float, is_arc: bool, is_mile: bool) -> float:
@@ -152,63 +150,97 @@ def within(layer: DataFrame, reach: float, is_arc: bool = False, is_mile: bool =
     r = _reach(reach, is_arc, is_mile)
     a = _cells(_named(p, dims, "i", "a"), dims, "a", r, False)
     b = _cells(_named(p, dims, "j", "b"), dims, "b", r, True)
-    out = a.join(b, [f"c_{c}" for c in dims]).where("i <> j").select("i", "j", _distance(dims, is_arc, is_mile).alias("d"))
+    out = a.join(b, [f"c_{c}" for c in dims]).where("i <> j").select("i", "j", _length(F.sqrt(squares(dims)), is_arc, is_mile).alias("d"))
     return out.where(F.col("d") <= reach)
 
 
-def nearest(layer: DataFrame, k: int, is_arc: bool = False, is_mile: bool = True, each: int = 4, only: DataFrame | None = None) -> DataFrame:
-    """(i, j, d, rank): the k nearest other points of each (or of the ids in only), ties by id.
+#: Cells are halved at most so often; two places closer than that are told apart by their distance only.
+FINEST = 50
+
+
+def nearest_in(p: DataFrame, dims: list[str], k: int, distance: Callable[[list[str]], Column], square: bool, only: DataFrame | None = None) -> DataFrame:
+    """(i, j, s, rank): the k nearest other rows of each row of p (id, dims) (or of the ids in only) by s, ties by id.
 
+    distance makes s of columns a_<dim> and b_<dim>: at least the largest difference in a dimension, or its square.
     Points at one place are searched once, and of a place only its k + 1 smallest ids can be
-    neighbours; so a place that very many rows share costs no more than others. Places
-    are joined with the 3 x 3 cells around them on a grid with about `each` places a cell; those
-    with enough neighbours nearer than the edge of that square are settled, the others go
-    on to a grid of twice the size.
+    neighbours; so a place that very many rows share costs no more than others. The box of all places is halved in each
+    dimension again and again. A place starts at the finest such cell that still holds a few places, whether it is in a
+    crowd or far from all others, and is joined with the cells around it. Those with enough neighbours nearer than the edge
+    of that square are settled, the others go on with cells of twice the size. A cell in which many places start has few
+    places, so few meet a crowd from outside.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    p, dims = _space(layer, is_arc)
-    p = kept(p.where(" and ".join(f"{c} is not null" for c in dims)))
-    ids = p.withColumn("n", F.row_number().over(Window.partitionBy(*dims).orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
-    ids = kept(ids)
-    places = kept(ids.groupBy(*dims).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("held")))
+    each = max(4, k * 2 // 3)
+    p = kept(p.where(" and ".join(f"{c} is not null" for c in dims)).select("id", *dims))
+    ids = kept(p.withColumn("n", F.row_number().over(Window.partitionBy(*dims).orderBy("id"))).where(F.col("n") <= k + 1).drop("n"))
+    places = kept(ids.groupBy(*dims).agg(F.min("id").alias("id")))
     box = places.agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(f"lo_{c}") for c in dims), *(F.max(c).alias(f"hi_{c}") for c in dims)).first()
     if not box.n:
-        return p.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
-    wide = max(box[f"hi_{c}"] - box[f"lo_{c}"] for c in dims)
-    size = wide / max(1.0, (box.n / each) ** 0.5) or 1.0
+        return p.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("s"), F.lit(1).alias("rank")).limit(0)
+    wide = max(box[f"hi_{c}"] - box[f"lo_{c}"] for c in dims) or 1.0
+    at = lambda c, prefix, level: F.floor((F.col(f"{prefix}_{c}") - F.lit(box[f"lo_{c}"])) / F.lit(wide) * F.pow(F.lit(2.0), level))
+    cells = [f"c_{c}" for c in dims]
+
+    def celled(q: DataFrame, prefix: str, levels: list[int]) -> DataFrame:
+        """Each row of q once for each level, with its cell there."""
+        q = q.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+        return q.withColumns({f"c_{c}": at(c, prefix, F.col("level")) for c in dims})
+
+    def poorest(q: DataFrame, levels: list[int]) -> DataFrame:
+        """(i, first): the coarsest of levels at which the row's cell holds under `each` places."""
+        split = celled(q, "a", levels)
+        poor = kept(split.groupBy("level", *cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < each).drop("n"))
+        return kept(split.join(poor, ["level", *cells]).groupBy("i").agg(F.min("level").alias("first")))
+
+    all_ = _named(places, dims, "i", "a")
+    # First among every fifth level, then among those between; cells only get poorer with the level.
+    coarse = kept(all_.join(poorest(all_, list(range(5, FINEST + 1, 5))), "i", "left").select(*all_.columns, F.coalesce("first", F.lit(FINEST + 5)).alias("first")))
+    between = coarse.withColumn("level", F.explode(F.sequence(F.col("first") - 4, F.least(F.col("first") - 1, F.lit(FINEST))))).withColumns({f"c_{c}": at(c, "a", F.col("level")) for c in dims})
+    count = kept(between.groupBy("level", *cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < each).drop("n"))
+    fine = kept(between.join(count, ["level", *cells]).groupBy("i").agg(F.min("level").alias("fine")))
+    todo = coarse.join(fine, "i", "left").select(*all_.columns, F.greatest(F.lit(0), F.least(F.lit(FINEST), F.coalesce("fine", "first") - 1)).cast("int").alias("level"))
     if only is not None:
         p = kept(p.join(only.select("id"), "id", "left_semi"))
-        places = places.join(p.select(*dims).distinct(), dims, "left_semi")
-    todo, done = _named(places, dims, "i", "a"), []
+        todo = todo.join(p.select(*(F.col(c).alias(f"a_{c}") for c in dims)).distinct(), [f"a_{c}" for c in dims], "left_semi")
+    todo, done = kept(todo), []
     there = _named(ids, dims, "j", "b")
     top = Window.partitionBy("i").orderBy("s", "j")
-    while True:
-        last = size > 2 * wide
-        a = _cells(todo, dims, "a", size, True)
-        b = _cells(there, dims, "b", size, False)
-        # A squared distance decides nearness, so that ties are those of the coordinates.
-        s = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in dims), F.lit(0.0))
-        got = a.join(b, [f"c_{c}" for c in dims]).select("i", *(f"a_{c}" for c in dims), "j", s.alias("s"), _distance(dims, is_arc, is_mile).alias("d"))
-        got = got.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k + 1)
-        got = kept(got)
-        if last:
-            done.append(got)
-            break
+    while levels := sorted(r.level for r in todo.select("level").distinct().collect()):  # FINEST + 1 at most
+        a = todo.withColumns({f"c_{c}": at(c, "a", F.col("level")) for c in dims})
+        for c in cells:
+            a = a.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+        b = celled(there, "b", levels)
+        # Written, so that the join has plain exchanges, whose skewed partitions Spark splits.
+        b = kept(b.join(kept(a.select("level", *cells).distinct()), ["level", *cells], "left_semi"))
+        got = a.join(b, ["level", *cells]).select("i", "level", *(f"a_{c}" for c in dims), "j", distance(dims).alias("s"))
+        got = kept(got.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k + 1))
         # The nearest side of the square is at least one cell away.
-        good = got.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("far")).where((F.col("n") == k + 1) & (F.col("far") < size * size * (1 - 1e-9))).select("i")
-        done.append(got.join(good, "i", "left_semi"))
-        todo = kept(todo.join(good, "i", "left_anti"))
-        if todo.isEmpty():
-            break
-        size *= 2
+        size = F.lit(wide) / F.pow(F.lit(2.0), "level") * (1 - 1e-9)
+        good = got.groupBy("i", "level").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("far")).where((F.col("level") == 0) | (F.col("n") == k + 1) & (F.col("far") < (size * size if square else size)))
+        good = kept(good.select("i"))
+        done.append(got.join(good, "i", "left_semi").drop("level"))
+        todo = kept(todo.join(good, "i", "left_anti").withColumn("level", F.col("level") - 1))
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
     # Every point of a place takes the place's list without itself.
     own = p.select(F.col("id").alias("own"), *(F.col(c).alias(f"a_{c}") for c in dims))
-    out = own.join(found, [f"a_{c}" for c in dims]).where("own <> j").select(F.col("own").alias("i"), "j", "d", "s")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("s", "j"))).where(F.col("rank") <= k).drop("s")
+    out = own.join(found.drop("rank"), [f"a_{c}" for c in dims]).where("own <> j").select(F.col("own").alias("i"), "j", "s")
+    return out.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+
+
+def squares(dims: list[str]) -> Column:
+    """The squared distance, which decides nearness, so that ties are those of the coordinates."""
+    return sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in dims), F.lit(0.0))
+
+
+def nearest(layer: DataFrame, k: int, is_arc: bool = False, is_mile: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """(i, j, d, rank): the k nearest other points of each (or of the ids in only), ties by id."""
+    p, dims = _space(layer, is_arc)
+    with scope() as needed:
+        out = needed(kept(nearest_in(p, dims, k, squares, True, only)))
+    return out.select("i", "j", _length(F.sqrt("s"), is_arc, is_mile).alias("d"), "rank")
 
 
 def min_distthreshold(layer: DataFrame, is_arc: bool = False, is_mile: bool = True) -> DataFrame:
@@ -248,9 +280,9 @@ def kernel(z: Column, kind: str) -> Column:
 
 
 def _with_diagonal(nodes: DataFrame, edges: DataFrame, kind: str, use_kernel_diagonals: bool) -> Weights:
-    """Each point is its own neighbour too: with the kernel's value at 0 or, without use_kernel_diagonals, weight 1."""
+    """The weight of each point itself is a column `diagonal` of the nodes, the kernel's value at 0 or, without use_kernel_diagonals, 1. It is no link."""
     own = kernel(F.lit(0.0), kind) if use_kernel_diagonals else F.lit(1.0)
-    return Weights(nodes, edges.unionByName(nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), own.alias("w"))))
+    return Weights(nodes.withColumn("diagonal", own), edges)
 
 
 def kernel_weights(layer: DataFrame, bandwidth: float, kernel_method: str, use_kernel_diagonals: bool = False, power: float = 1.0, is_inverse: bool = False, is_arc: bool = False, is_mile: bool = True) -> Weights:

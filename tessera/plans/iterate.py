@@ -2,26 +2,81 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Tables written by open scopes, the innermost last; the first list has those of no scope.
+_written: list[list[tuple[SparkSession, str]]] = [[]]
+
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary one for a driver that runs its tasks itself, and an error for a cluster,
+    whose executors wouldn't see it.
+    """
     if not (d := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder, removed at the end of the scope or of the driver."""
+    path = f"{scratch(spark)}/tessera/{uuid.uuid4().hex}"
+    _written[-1].append((spark, path))
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def _removed(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        with contextlib.suppress(Exception):  # a stopped session, or a table that was never written
+            jvm = spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scope():
+    """Tables kept inside are removed at its end, but for those handed to the function it gives, which the plan returned still reads."""
+    stay: set[str] = set()
+
+    def needed(df: DataFrame) -> DataFrame:
+        stay.add(df._tessera_path)
+        return df
+
+    mine: list[tuple[SparkSession, str]] = []
+    _written.append(mine)
+    try:
+        yield needed
+    finally:
+        _written.remove(mine)
+        _written[-1].extend(x for x in mine if x[1] in stay)
+        _removed([x for x in mine if x[1] not in stay])
+
+
+@atexit.register
+def _at_exit() -> None:
+    """Tables that a returned plan may read until the driver ends."""
+    for tables in _written:
+        _removed(tables)
+        tables.clear()
 
 
 #: Edges up to which components are finished on the driver; their size there is bounded by this.
@@ -51,6 +106,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     minimum per node with map-side combine and a join. What is left is finished on the
     driver once it is small.
     """
+    with scope() as needed:
+        found = needed(kept(_components(edges)))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     e = kept(edges.where("i <> j").select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct())
     before, n = None, e.count()
     while n > SMALL:
@@ -64,5 +125,4 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before, n = now, now[0]
-    found = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")) if n > SMALL else _finished(e)
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")) if n > SMALL else _finished(e)

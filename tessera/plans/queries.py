@@ -12,7 +12,7 @@ from ..operators import clustering, lisa, match, weights as W
 from ..operators.geometry import area, centroid, perimeter
 from ..sources import weights_io, wkb
 from . import layers as L
-from .iterate import scratch
+from .iterate import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,11 +154,11 @@ _kernel = {"triangular": "1 - z", "uniform": "0.5::double", "epanechnikov": "0.7
 _own = {"triangular": "1.0::double", "uniform": "0.5::double", "epanechnikov": "0.75::double", "quartic": "0.9375::double", "gaussian": "1 / sqrt(2 * pi())"}
 for _k, _f in _kernel.items():
     QUERIES[f"kernel_weights_{_k}"] = lambda spark, d, k=_k: rounded(W.kernel_weights(L.part_points(spark, d), BAND, k).edges)
-    SQL[f"kernel_weights_{_k}"] = sql_with(*ALL_NEAR, select=f"select i, j, {r(_f)} as w from (select i, j, d / {BAND} as z from near where d <= {BAND}) union all select id, id, 1.0::double from part_points")
+    SQL[f"kernel_weights_{_k}"] = sql_with(*ALL_NEAR, select=f"select i, j, {r(_f)} as w from (select i, j, d / {BAND} as z from near where d <= {BAND})")
     QUERIES[f"kernel_knn_weights_{_k}"] = lambda spark, d, k=_k: rounded(W.kernel_knn_weights(L.part_points(spark, d), 6, k, use_kernel_diagonals=True).edges)
-    SQL[f"kernel_knn_weights_{_k}"] = sql_with(*ALL_NEAR, KNN, select=f"select i, j, {r(_f)} as w from (select i, j, d / max(d) over (partition by i) as z from knn) union all select id, id, {r(_own[_k])} from part_points")
+    SQL[f"kernel_knn_weights_{_k}"] = sql_with(*ALL_NEAR, KNN, select=f"select i, j, {r(_f)} as w from (select i, j, d / max(d) over (partition by i) as z from knn)")
 QUERIES["kernel_knn_weights_fixed"] = lambda spark, d: rounded(W.kernel_knn_weights(L.part_points(spark, d), 6, "triangular", False).edges)
-SQL["kernel_knn_weights_fixed"] = sql_with(*ALL_NEAR, KNN, select=f"select i, j, {r('1 - z')} as w from (select i, j, d / max(d) over () as z from knn) union all select id, id, 1.0::double from part_points")
+SQL["kernel_knn_weights_fixed"] = sql_with(*ALL_NEAR, KNN, select=f"select i, j, {r('1 - z')} as w from (select i, j, d / max(d) over () as z from knn)")
 
 
 @query("select cast(n_nationkey + 1 as bigint) as id, cast(0 as bigint) as n from nation")
@@ -633,7 +633,7 @@ def wkb_round_trip(spark, d):
 
 
 def _file(spark: SparkSession) -> str:
-    return f"{scratch(spark)}/tessera/{uuid.uuid4().hex}"
+    return new_path(spark)
 
 
 @query(sql_with(*CUSTOMER, select="select i, j, 1.0::double as w from e"))
