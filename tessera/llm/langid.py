@@ -1,14 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads segments of SEGMENT bytes; a forward and a backward recurrent layer of
-HIDDEN units label every position, and a document's probabilities are the mean over all
-its positions. It is trained in numpy by backpropagation through time on at most about
-SAMPLE labelled documents (from each a stretch of at most STRETCH bytes for learning
+A forward and a backward recurrent layer of HIDDEN units read the bytes of a segment of SEGMENT bytes and
+label every position. A second gated layer of each direction carries their state from segment to segment over the whole
+text: what it has gathered of all segments before (or behind) a segment counts at each of the segment's positions. So each label
+depends on the whole text, and the steps that follow one on the other are few. A document's probabilities are the mean
+over all its positions. All of it is trained in numpy by backpropagation through time, through both layers, on at most about
+SAMPLE labelled documents of the SAMPLE // 8 most frequent languages (documented bounds; from each document a stretch of at most STRETCH characters, for learning
 only); prediction reads every byte of every text.
 
 Learning uses text and non-null lang of the rows that `training` admits. A text that is
 null or has no letter is `und` with score 0, and so is every text where nothing could be
-learned (no labelled rows). Repeated rows are predicted alike. A null doc_id isn't held out.
+learned (no labelled rows). Repeated rows are predicted alike. A null doc_id isn't held out. Other columns are passed by.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from . import common as C
 
 SEGMENT, HIDDEN = 64, 8
 SAMPLE, STRETCH = 2400, 768
-STEPS, BATCH, RATE, SEED = 260, 256, 0.02, 11
+STEPS, BATCH, RATE, SEED = 260, 40, 0.02, 11
 AT_ONCE = 4096
 UNKNOWN = "und"
 
@@ -39,6 +41,14 @@ class Network:
     b: np.ndarray  # (2, 1, 3 * hidden), of the recurrent product
     v: np.ndarray  # (2, hidden, labels)
     c: np.ndarray  # (labels,)
+    # The layer from segment to segment: of a segment's last state, of its own state, and to the labels.
+    cx: np.ndarray  # (2, hidden, 3 * hidden)
+    cu: np.ndarray  # (2, hidden, 3 * hidden)
+    cb: np.ndarray  # (2, 1, 3 * hidden)
+    cv: np.ndarray  # (2, hidden, labels)
+
+
+WEIGHTS = ("x", "u", "b", "v", "c", "cx", "cu", "cb", "cv")
 
 
 def sigmoid(a: np.ndarray) -> np.ndarray:
@@ -49,27 +59,60 @@ def sigmoid(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def forward(net: Network, seg: np.ndarray) -> dict:
-    """All activations for segments (n, T) of bytes; the second direction reads them from the end."""
+def gated(a: np.ndarray, h: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A step of both directions from state h with input a: (state, gates, candidate, recurrent part of the candidate)."""
+    k = h.shape[-1]
+    r = h @ u + b
+    gates = sigmoid(a[..., : 2 * k] + r[..., : 2 * k])
+    inner = r[..., 2 * k :]
+    cand = np.tanh(a[..., 2 * k :] + gates[..., k:] * inner)
+    return cand + gates[..., :k] * (h - cand), gates, cand, inner
+
+
+def back(dh: np.ndarray, h: np.ndarray, gates: np.ndarray, cand: np.ndarray, inner: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a step of gated, from the gradient of its result: those of the input, of the recurrent product, and of the state before."""
+    k = h.shape[-1]
+    z, r = gates[..., :k], gates[..., k:]
+    dc = dh * (1 - z) * (1 - cand * cand)
+    pre = np.concatenate([dh * (h - cand) * z * (1 - z), dc * inner * r * (1 - r), dc], -1)
+    rec = pre.copy()
+    rec[..., 2 * k :] *= r
+    return pre, rec, dh * z + rec @ np.swapaxes(u, 1, 2)
+
+
+def in_order(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(2, documents, most segments): numbers of the segments in the order of each direction, and which there are."""
+    first = np.concatenate(([0], np.cumsum(count)[:-1]))
+    k = np.arange(int(count.max(initial=0)))
+    there = k < count[:, None]
+    return np.where(there, np.stack([first[:, None] + k, first[:, None] + count[:, None] - 1 - k]), 0), there
+
+
+def forward(net: Network, seg: np.ndarray, count: np.ndarray) -> dict:
+    """All activations for segments (n, T) of bytes, count of them for each document; the second direction reads from the end."""
     n, t = seg.shape
     k = net.u.shape[1]
     both = np.stack([seg.T, seg.T[::-1]])
     h = np.zeros((t + 1, 2, n, k), np.float32)
-    gates, cand, inner = np.empty((t, 2, n, 2 * k), np.float32), np.empty((t, 2, n, k), np.float32), np.empty((t, 2, n, k), np.float32)
+    steps = []
     for i in range(t):
-        x = np.stack([net.x[0][both[0, i]], net.x[1][both[1, i]]])
-        r = h[i] @ net.u + net.b
-        gates[i] = sigmoid(x[..., : 2 * k] + r[..., : 2 * k])
-        inner[i] = r[..., 2 * k :]
-        cand[i] = np.tanh(x[..., 2 * k :] + gates[i, ..., k:] * inner[i])
-        z = gates[i, ..., :k]
-        h[i + 1] = cand[i] + z * (h[i] - cand[i])
-    f, g = h[1:, 0], h[1:, 1][::-1]
-    logits = f @ net.v[0] + g @ net.v[1] + net.c
+        h[i + 1], *rest = gated(np.stack([net.x[0][both[0, i]], net.x[1][both[1, i]]]), h[i], net.u, net.b)
+        steps.append(rest)
+    order, there = in_order(count)
+    way = np.arange(2)[:, None]
+    g, carried, outer = np.zeros((2, len(count), k), np.float32), np.zeros((2, n, k), np.float32), []
+    for i in range(order.shape[2]):
+        at, live = order[:, :, i], there[:, i]
+        carried[way, at[:, live]] = g[:, live]
+        last = h[t][way, at]
+        after, *rest = gated(last @ net.cx, g, net.cu, net.cb)
+        outer.append((g, last, at, live, *rest))
+        g = after
+    logits = h[1:, 0] @ net.v[0] + h[1:, 1][::-1] @ net.v[1] + net.c + (carried[0] @ net.cv[0] + carried[1] @ net.cv[1])
     logits -= logits.max(2, keepdims=True)
     p = np.exp(logits)
     p /= p.sum(2, keepdims=True)
-    return {"both": both, "h": h, "gates": gates, "cand": cand, "inner": inner, "p": p}
+    return {"both": both, "h": h, "steps": steps, "carried": carried, "outer": outer, "p": p}
 
 
 def gradients(net: Network, a: dict, want: np.ndarray) -> dict[str, np.ndarray]:
@@ -80,22 +123,28 @@ def gradients(net: Network, a: dict, want: np.ndarray) -> dict[str, np.ndarray]:
     d[:, np.arange(n), want] -= 1
     d /= t * n
     h = a["h"]
-    out = {"c": d.sum((0, 1)), "v": np.stack([np.einsum("tnk,tnm->km", h[1:, 0], d), np.einsum("tnk,tnm->km", h[1:, 1][::-1], d)]), "u": np.zeros_like(net.u), "b": np.zeros_like(net.b), "x": np.zeros_like(net.x)}
+    out = {w: np.zeros_like(getattr(net, w)) for w in WEIGHTS}
+    out["c"] = d.sum((0, 1))
+    out["v"] = np.stack([np.einsum("tnk,tnm->km", h[1:, 0], d), np.einsum("tnk,tnm->km", h[1:, 1][::-1], d)])
+    once = d.sum(0)
+    out["cv"] = np.swapaxes(a["carried"], 1, 2) @ once
+    read = once @ np.swapaxes(net.cv, 1, 2)  # of the carried states, by their labels
+    way = np.arange(2)[:, None]
+    dh, dg = np.zeros((2, n, k), np.float32), 0
+    for g, last, at, live, *rest in reversed(a["outer"]):
+        pre, rec, dg = back(dg + np.zeros_like(g), g, *rest, net.cu)
+        out["cx"] += np.swapaxes(last, 1, 2) @ pre
+        out["cu"] += np.swapaxes(g, 1, 2) @ rec
+        out["cb"] += rec.sum(1, keepdims=True)
+        dh[way, at[:, live]] += (pre @ np.swapaxes(net.cx, 1, 2))[:, live]
+        dg[:, live] += read[way, at[:, live]]
     up = np.stack([d @ net.v[0].T, (d @ net.v[1].T)[::-1]], 1)
     pre = np.empty((t, 2, n, 3 * k), np.float32)
-    dh = np.zeros((2, n, k), np.float32)
     for i in range(t - 1, -1, -1):
-        dh = dh + up[i]
-        z, r, c = a["gates"][i, ..., :k], a["gates"][i, ..., k:], a["cand"][i]
-        dc = dh * (1 - z) * (1 - c * c)
-        pre[i, ..., :k] = dh * (h[i] - c) * z * (1 - z)
-        pre[i, ..., k : 2 * k] = dc * a["inner"][i] * r * (1 - r)
-        pre[i, ..., 2 * k :] = dc
-        rec = pre[i].copy()
-        rec[..., 2 * k :] *= r
+        pre[i], rec, nxt = back(dh + up[i], h[i], *a["steps"][i], net.u)
         out["u"] += np.swapaxes(h[i], 1, 2) @ rec
         out["b"] += rec.sum(1, keepdims=True)
-        dh = dh * z + rec @ np.swapaxes(net.u, 1, 2)
+        dh = nxt
     for s in range(2):
         byte, g = a["both"][s].ravel(), pre[:, s].reshape(-1, 3 * k)
         for j in range(3 * k):
@@ -103,30 +152,32 @@ def gradients(net: Network, a: dict, want: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def segments(x: np.ndarray) -> np.ndarray:
+    """The bytes of a text in rows of SEGMENT, filled up with zeros; at least one."""
+    out = np.zeros((max(1, -(-len(x) // SEGMENT)), SEGMENT), np.uint8)
+    out.ravel()[: len(x)] = x
+    return out
+
+
 def trained(texts: list[bytes], langs: list[str]) -> Network | None:
     """A network fitted to labelled texts by Adam; None without texts."""
     labels = sorted(set(langs))
     r = np.random.default_rng(SEED)
-    seg, want = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        x = np.frombuffer(text, np.uint8)
-        for a in range(0, len(x), SEGMENT):
-            s = np.zeros(SEGMENT, np.uint8)
-            s[: len(x[a : a + SEGMENT])] = x[a : a + SEGMENT]
-            seg.append(s)
-            want.append(labels.index(lang))
-    if not seg:
+    docs = [(segments(np.frombuffer(text, np.uint8)), labels.index(lang)) for text, lang in zip(texts, langs, strict=True) if text]
+    if not docs:
         return None
-    seg, want = np.array(seg), np.array(want)
-    by = [np.flatnonzero(want == k) for k in range(len(labels))]
-    by = [x for x in by if len(x)]
+    by = [[s for s, want in docs if want == k] for k in range(len(labels))]
     k, m = HIDDEN, len(labels)
     f = np.float32
-    net = Network(labels, r.normal(0, 0.3, (2, 256, 3 * k)).astype(f), r.normal(0, k**-0.5, (2, k, 3 * k)).astype(f), np.zeros((2, 1, 3 * k), f), r.normal(0, k**-0.5, (2, k, m)).astype(f), np.zeros(m, f))
-    moments = {n: (np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))) for n in ("x", "u", "b", "v", "c")}
+    cell = lambda: r.normal(0, k**-0.5, (2, k, 3 * k)).astype(f)
+    flat = lambda: np.zeros((2, 1, 3 * k), f)
+    net = Network(labels, r.normal(0, 0.3, (2, 256, 3 * k)).astype(f), cell(), flat(), r.normal(0, k**-0.5, (2, k, m)).astype(f), np.zeros(m, f), cell(), cell(), flat(), r.normal(0, k**-0.5, (2, k, m)).astype(f))
+    moments = {n: (np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))) for n in WEIGHTS}
     for step in range(1, STEPS + 1):
-        pick = np.concatenate([r.choice(x, max(1, BATCH // len(by))) for x in by])
-        g = gradients(net, forward(net, seg[pick]), want[pick])
+        pick = [(by[j][i], j) for j in range(m) if by[j] for i in r.integers(0, len(by[j]), max(1, BATCH // m))]
+        count = np.array([len(s) for s, _ in pick])
+        seg, want = np.concatenate([s for s, _ in pick]), np.repeat([j for _, j in pick], count)
+        g = gradients(net, forward(net, seg, count), want)
         rate = RATE * min(1, 2 * (1 - (step - 1) / STEPS))
         norm = sum(float((x * x).sum()) for x in g.values()) ** 0.5
         for n, (m1, m2) in moments.items():
@@ -137,13 +188,13 @@ def trained(texts: list[bytes], langs: list[str]) -> Network | None:
     return net
 
 
-def summed(net: Network, seg: np.ndarray, n: np.ndarray, positions: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """The sum of the probabilities of the first n positions of each segment, and on demand each position's label."""
-    t, k, m = seg.shape[1], net.u.shape[1], len(net.labels)
+def read(net: Network, seg: np.ndarray, labels: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """The last states of both directions for each segment, and with labels what they add to the labels at each position (T, n, labels)."""
+    t, k, s = seg.shape[1], net.u.shape[1], seg.shape[0]
     cols = np.ascontiguousarray(seg.T)
-    s = seg.shape[0]
-
-    def steps(way: int, order: range) -> Iterator[tuple[int, np.ndarray]]:
+    out = np.empty((t, s, len(net.labels)), np.float32) if labels else None
+    ends = np.empty((2, s, k), np.float32)
+    for way, order in ((0, range(t)), (1, range(t - 1, -1, -1))):
         h = np.zeros((s, k), np.float32)
         x, u, b = net.x[way].copy(), net.u[way].copy(), net.b[way, 0]
         # sigmoid(a) = (tanh(a / 2) + 1) / 2: the halves go into the weights.
@@ -167,17 +218,43 @@ def summed(net: Network, seg: np.ndarray, n: np.ndarray, positions: bool = False
             h = h - c
             h *= g[:, :k]
             h += c
-            yield i, h
+            if labels and way:
+                out[i] += h @ net.v[1]
+            elif labels:
+                np.matmul(h, net.v[0], out=out[i])
+        ends[way] = h
+    return ends, out
+
 
-    ahead = np.empty((t, s, m), np.float32)
-    for i, h in steps(0, range(t)):
-        np.matmul(h, net.v[0], out=ahead[i])
+def carried(net: Network, ends: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What the layer from segment to segment adds to the labels of each segment, from the last states of all; count: segments of each document."""
+    k = net.u.shape[1]
+    first = np.concatenate(([0], np.cumsum(count)[:-1]))
+    by = np.argsort(-count, kind="stable")
+    first, left = first[by], count[by]
+    state = np.zeros((2, ends.shape[1], k), np.float32)
+    g, inputs = np.zeros((2, len(count), k), np.float32), ends @ net.cx
+    for i in range(int(count.max(initial=0)) - 1):
+        live = int(np.searchsorted(-left, -(i + 1), "left"))  # those with a segment after this one
+        first, left, g = first[:live], left[:live], g[:, :live]
+        a = np.stack([inputs[0, first + i], inputs[1, first + left - 1 - i]])
+        g = gated(a, g, net.cu, net.cb)[0]
+        state[0, first + i + 1] = g[0]
+        state[1, first + left - 2 - i] = g[1]
+    return state[0] @ net.cv[0] + state[1] @ net.cv[1] + net.c
+
+
+def pooled(logits: np.ndarray, more: np.ndarray, n: np.ndarray, positions: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The sum of the probabilities of the first n positions of each segment, and on demand each position's label."""
+    t, s, m = logits.shape
     total = np.zeros((s, m), np.float32)
-    labels = np.empty((t, s), np.uint8) if positions else None
-    for i, h in steps(1, range(t - 1, -1, -1)):
-        p = h @ net.v[1]
-        p += ahead[i]
-        p += net.c
+    labels = np.empty((t, s), np.uint16) if positions else None
+    for i in range(t):
+        p = logits[i]
+        p += more
+        if positions:
+            labels[i] = p.argmax(1)
+        p -= p.max(1, keepdims=True) if m > 8 else np.maximum.reduce([p[:, j] for j in range(m)])[:, None]
         np.exp(p, out=p)
         w = p[:, 0].copy()
         for j in range(1, m):
@@ -185,8 +262,6 @@ def summed(net: Network, seg: np.ndarray, n: np.ndarray, positions: bool = False
         w = (i < n) / w
         p *= w[:, None].astype(np.float32)
         total += p
-        if positions:
-            labels[i] = p.argmax(1)
     return total, labels.T if positions else None
 
 
@@ -221,13 +296,15 @@ def sample(docs: DataFrame, training: Column, most: int = SAMPLE) -> tuple[list[
 
 
 def predicted(docs: DataFrame, net: Network | None, positions: bool = False, least: float | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of docs (doc_id, text); with positions also labels, one byte for each byte of the text.
+    """(doc_id, lang_pred, score) of every row of docs (doc_id, text); with positions also labels, one byte for each byte of the text (two with over 256 languages).
 
     With least, docs instead: its rows, whole and as they are, whose language is told with that score or more.
     """
     C.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Few languages or many, about as many numbers at once.
+        at_once = max(64, AT_ONCE * 8 // max(8, len(net.labels))) if net else AT_ONCE
         for rows, data, offs in C.slices(batches, limit=SEGMENT * AT_ONCE):
             n = np.diff(offs)
             good = has_letter(data, offs) & (net is not None)
@@ -237,14 +314,26 @@ def predicted(docs: DataFrame, net: Network | None, positions: bool = False, lea
             start = offs[:-1][row] + k * SEGMENT
             size = np.minimum(SEGMENT, offs[1:][row] - start)
             probs = np.zeros((len(n), len(net.labels) if net else 1))
-            marks = np.zeros(len(data), np.uint8)
+            marks = np.zeros(len(data), np.uint8 if not net or len(net.labels) <= 256 else "<u2")
             padded = np.concatenate((data, np.zeros(SEGMENT, np.uint8)))
-            for a in range(0, len(row), AT_ONCE):
-                x = start[a : a + AT_ONCE, None] + np.arange(SEGMENT)
-                inside = np.arange(SEGMENT) < size[a : a + AT_ONCE, None]
-                total, labels = summed(net, np.where(inside, padded[x], 0), size[a : a + AT_ONCE], positions)
+
+            def part(a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                x = start[a : a + at_once, None] + np.arange(SEGMENT)
+                inside = np.arange(SEGMENT) < size[a : a + at_once, None]
+                return x, inside, np.where(inside, padded[x], 0)
+
+            if len(row):
+                parts = range(0, len(row), at_once)
+                whole = read(net, part(0)[2]) if len(parts) == 1 else None
+                # A text of many parts is read twice: for its states, which are carried over all of it, and for its labels.
+                ends = whole[0] if whole else np.concatenate([read(net, part(a)[2], False)[0] for a in parts], 1)
+                more = carried(net, ends, count[count > 0])
+            for a in range(0, len(row), at_once):
+                x, inside, seg = part(a)
+                logits = whole[1] if whole else read(net, seg)[1]
+                total, labels = pooled(logits, more[a : a + at_once], size[a : a + at_once], positions)
                 for j in range(total.shape[1]):
-                    probs[:, j] += np.bincount(row[a : a + AT_ONCE], total[:, j], len(n))
+                    probs[:, j] += np.bincount(row[a : a + at_once], total[:, j], len(n))
                 if positions:
                     marks[x[inside]] = labels[inside]
             probs /= np.maximum(n, 1)[:, None]
@@ -256,7 +345,7 @@ def predicted(docs: DataFrame, net: Network | None, positions: bool = False, lea
                 continue
             cols = [rows.column("doc_id"), pa.array(name, pa.string()), pa.array(score)]
             if positions:
-                cols.append(C.binaries(marks, offs))
+                cols.append(C.binaries(marks.view(np.uint8), offs * marks.itemsize))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "labels"][: len(cols)])
 
     if least is not None:

@@ -12,18 +12,21 @@ def prose(r, lang, n):
     return " ".join("".join(r.choice(BITS[lang]) for _ in range(r.randrange(1, 4))) for _ in range(n))
 
 
+def network(r, k, m):
+    f = lambda *s: r.normal(0, 0.5, s).astype(np.float32)
+    return L.Network(list("abcdefgh"[:m]), f(2, 256, 3 * k), f(2, k, 3 * k), f(2, 1, 3 * k), f(2, k, m), f(m), f(2, k, 3 * k), f(2, k, 3 * k), f(2, 1, 3 * k), f(2, k, m))
+
+
 def test_gradients_by_differences():
     r = np.random.default_rng(0)
-    f = lambda *s: r.normal(0, 0.5, s)
-    net = L.Network(["a", "b"], f(2, 256, 9), f(2, 3, 9), f(2, 1, 9), f(2, 3, 2), f(2))
-    seg, want = r.integers(0, 5, (4, 6)).astype(np.uint8), np.array([0, 1, 1, 0])
-    for n in ("x", "u", "b", "v", "c"):
-        setattr(net, n, getattr(net, n).astype(np.float32))
-    loss = lambda: -np.log(L.forward(net, seg)["p"][:, np.arange(4), want].astype(float)).mean()
-    g = L.gradients(net, L.forward(net, seg), want)
-    for n in ("x", "u", "b", "v", "c"):
+    net = network(r, 3, 2)
+    count = np.array([3, 1, 2])
+    seg, want = r.integers(0, 5, (6, 4)).astype(np.uint8), np.repeat([0, 1, 1], count)
+    loss = lambda: -np.log(L.forward(net, seg, count)["p"][:, np.arange(6), want].astype(float)).mean()
+    g = L.gradients(net, L.forward(net, seg, count), want)
+    for n in L.WEIGHTS:
         w = getattr(net, n)
-        for _ in range(6):
+        for _ in range(8):
             at = tuple(r.integers(0, 5) if n == "x" and d == 1 else r.integers(0, s) for d, s in enumerate(w.shape))
             old = w[at]
             w[at] = old + 1e-2
@@ -31,20 +34,58 @@ def test_gradients_by_differences():
             w[at] = old - 1e-2
             down = loss()
             w[at] = old
-            assert abs((up - down) / 2e-2 - g[n][at]) < 2e-3
-
-
-def test_pooled_sums_are_those_of_the_plain_network():
-    r = random.Random(2)
-    net = L.trained([prose(r, k, 40).encode() for k in BITS for _ in range(4)], [k for k in BITS for _ in range(4)])
-    seg = np.random.default_rng(1).integers(0, 256, (9, L.SEGMENT)).astype(np.uint8)
-    n = np.array([64, 1, 5, 64, 33, 2, 60, 9, 64])
-    total, labels = L.summed(net, seg, n, True)
-    p = L.forward(net, seg)["p"]
-    for i in range(9):
-        assert np.allclose(total[i], p[: n[i], i].sum(0), atol=1e-3)
-    inside = np.arange(L.SEGMENT) < n[:, None]
-    assert (labels == p.argmax(2).T)[inside].mean() > 0.99
+            assert abs((up - down) / 2e-2 - g[n][at]) < 1e-3, n
+
+
+def plain(net, text):
+    """Probabilities at each byte, one step after the other over the whole text."""
+    k = net.u.shape[1]
+    sig = lambda a: 1 / (1 + np.exp(-a))
+
+    def step(a, h, u, b):
+        r = h @ u + b[0]
+        z, q = sig(a[:k] + r[:k]), sig(a[k : 2 * k] + r[k : 2 * k])
+        c = np.tanh(a[2 * k :] + q * r[2 * k :])
+        return z * h + (1 - z) * c
+
+    seg = L.segments(np.frombuffer(text, np.uint8))
+    logits = np.zeros((*seg.shape, len(net.labels))) + net.c
+    for way in range(2):
+        g = np.zeros(k)
+        for s in range(len(seg)) if way == 0 else range(len(seg) - 1, -1, -1):
+            h = np.zeros(k)
+            for i in range(L.SEGMENT) if way == 0 else range(L.SEGMENT - 1, -1, -1):
+                h = step(net.x[way][seg[s, i]].astype(float), h, net.u[way], net.b[way])
+                logits[s, i] += h @ net.v[way] + g @ net.cv[way]
+            g = step(h @ net.cx[way], g, net.cu[way], net.cb[way])
+    p = np.exp(logits.reshape(-1, len(net.labels))[: len(text)])
+    return p / p.sum(1, keepdims=True)
+
+
+def test_predictions_are_those_of_the_plain_network(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    texts = [bytes(r.integers(97, 123, n).astype(np.uint8)).decode() for n in (1, 63, 64, 65, 700, 128, 200, 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for m, at_once in ((2, 4096), (3, 64), (8, 4096)):
+        net = network(r, 5, m)
+        monkeypatch.setattr(L, "AT_ONCE", at_once)
+        got = {x.doc_id: x for x in L.predicted(df, net, positions=True).collect()}
+        for i, t in enumerate(texts):
+            p = plain(net, t.encode())
+            mean = p.mean(0)
+            assert abs(got[i].score - mean.max()) < 1e-3 and (got[i].lang_pred == net.labels[mean.argmax()] or np.sort(mean)[-1] - np.sort(mean)[-2] < 1e-3)
+            assert (np.frombuffer(got[i].labels, np.uint8) == p.argmax(1)).mean() > 0.99
+
+
+def test_a_label_depends_on_the_whole_text():
+    r = np.random.default_rng(2)
+    net = network(r, 5, 3)
+    text = bytes(r.integers(97, 123, 1000).astype(np.uint8))
+    seg = L.segments(np.frombuffer(text, np.uint8))
+    other = seg.copy()
+    other[0, -1] ^= 1
+    a, b = (L.carried(net, L.read(net, x)[0], np.array([len(seg)])) for x in (seg, other))
+    assert (a[1] != b[1]).any() and (a[3] != b[3]).any() and (a[0] == b[0]).all()
 
 
 def test_held_out_accuracy_and_edges(spark):
