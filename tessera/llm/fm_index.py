@@ -254,10 +254,11 @@ def shard_hits(row: np.ndarray, number: np.ndarray, p: Phrases) -> tuple[np.ndar
 PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, cut: str | None = None) -> DataFrame:
+def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, cut: str | None = None, last: bool = True) -> DataFrame:
     """For one block of items: doc_id, row_id, n_words, n_hit, hit (ranges of words) and the items that occur, of each row of docs.
 
-    With cut, the name of a column of docs, docs instead with the byte ranges of the hits put into that column.
+    With cut, the name of a column of docs, docs instead with the word ranges of the hits united with those in that column; for the last
+    block as byte ranges.
     """
     C.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(items)
@@ -294,7 +295,7 @@ def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, cut: str
                     spans_ = []
                     base_word = first_word[at + i]
                     for x, k in zip(w[a:b].tolist(), s[a:b].tolist(), strict=True):
-                        if spans_ and x < spans_[-1][1] + (not cut):
+                        if spans_ and x <= spans_[-1][1]:
                             spans_[-1][1] = max(spans_[-1][1], x + k)
                         else:
                             spans_.append([x, x + k])
@@ -305,9 +306,11 @@ def hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int, cut: str
                     off, word0 = held_offs[id(rb)], first_word[at]
                     have = rb.column(cut).to_pylist()
                     for i in range(n):
-                        if merged[i]:
-                            base_word = first_word[at + i] - word0
-                            have[i] = united((have[i] or []) + [{"a": int(start[base_word + x] - off[i]), "b": int(end[base_word + y - 1] - off[i])} for x, y in merged[i]])
+                        if merged[i] or have[i]:
+                            have[i] = united((have[i] or []) + [{"a": int(x), "b": int(y)} for x, y in merged[i]])
+                            if last:
+                                base_word = first_word[at + i] - word0
+                                have[i] = [{"a": int(start[base_word + x["a"]] - off[i]), "b": int(end[base_word + x["b"] - 1] - off[i])} for x in have[i]]
                     yield pa.RecordBatch.from_arrays([pa.array(have, PAIRS) if c == cut else rb.column(c) for c in rb.schema.names], names=rb.schema.names)
                 else:
                     n_words = np.diff(first_word[at : at + n + 1])
@@ -404,14 +407,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the bytes from the first to the last word of each span of its text, overlapping ones merged; texts without a span stay as they are.
+    """docs without the bytes from the first to the last word of each merged span of its text; texts without a span stay as they are.
 
     Each row is judged by its own text and carries its spans through the blocks, so there is no join and doc_id doesn't matter.
     """
     cut = f"_{uuid.uuid4().hex}"
     out = docs.withColumn("text", F.col("text").cast("string")).withColumn(cut, F.lit(None).cast("array<struct<a: bigint, b: bigint>>"))
-    for block in blocks(benchmark, most, window):
-        out = hits(out, block, window, cut)
+    each = blocks(benchmark, most, window)
+    block = next(each)
+    while block is not None:
+        nxt = next(each, None)
+        out = hits(out, block, window, cut, nxt is None)
+        block = nxt
     # The bytes between the spans: from each one's end to the next one's start.
     rest = f"""decode(aggregate(transform(sequence(0, size({cut})), i -> struct(if(i = 0, 0L, {cut}[i - 1].b) as a, if(i = size({cut}), cast(octet_length(text) as bigint), {cut}[i].a) as b)),
         cast('' as binary), (s, x) -> concat(s, substring(encode(text, 'utf-8'), cast(x.a + 1 as int), cast(x.b - x.a as int)))), 'utf-8')"""

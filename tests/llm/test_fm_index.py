@@ -72,7 +72,7 @@ def test_removal_and_empty_tables(spark):
     items = spark.createDataFrame([("i", "secret phrase one")], "item_id string, text string")
     docs = docs.union(spark.createDataFrame([(None, "a secret phrase one b", "v"), (1, "Another secret phrase one", "w"), (3, "secret phrase two", "z")], docs.schema))
     items = items.union(spark.createDataFrame([("j", "keep this")], items.schema))
-    want = [(1, ". ! and this", "x"), (2, None, "y"), (3, "secret phrase two", "z"), (None, "a  b", "v"), (1, "Another ", "w"), (3, "secret phrase two", "z")]
+    want = [(1, "! and this", "x"), (2, None, "y"), (3, "secret phrase two", "z"), (None, "a  b", "v"), (1, "Another ", "w"), (3, "secret phrase two", "z")]
     for most in (X.BLOCK_BYTES, 1):
         assert sorted(map(repr, map(tuple, X.decontaminated(docs, items, most=most).collect()))) == sorted(map(repr, want))
     none = spark.createDataFrame([], "item_id string, text string")
