@@ -10,9 +10,10 @@ two places or more; the occurrence with the smallest (doc_id, start) stays and a
 go, however short: RUN is 1. A caller may ask for more, so that repeated chunks count only in
 runs, side by side, of at least so many bytes.
 
-A null text is empty and has no chunk. Rows with the same doc_id should not differ; if a
+A null text is empty and has no chunk. If a
 row is repeated its chunks have the same place and so are one occurrence. A row with a null
-doc_id is no document: it keeps its bytes and is nobody's other place.
+doc_id, and one that isn't the document of its doc_id (common.keyed), is no document: it keeps its bytes and is nobody's other
+place. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -139,9 +140,11 @@ def deduplicated(docs: DataFrame, least: int = RUN) -> DataFrame:
     those that aren't the first occurrence; kept_text: the rest (bytes of a character that was
     cut through are dropped), null where nothing was removed.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    text = F.coalesce("text", F.lit(b""))
-    found = C.kept(spans(docs))
+    docs = C.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "key")
+    slim = docs.select("key", F.col("text").cast("binary").alias("text")).where("key is not null")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    with C.scope() as needed:
+        found = needed(C.kept(spans(docs.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.slices(batches):
@@ -165,9 +168,9 @@ def deduplicated(docs: DataFrame, least: int = RUN) -> DataFrame:
                 out["s"].append(len(gone))
                 out["h"].append(hashlib.sha256(rest).hexdigest())
                 out["t"].append(rest.decode("utf-8", "ignore") if gone else None)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(out[k], pa.int64()) for k in "crs"), pa.array(out["h"], pa.string()), pa.array(out["t"], pa.string())], names=["doc_id", "n_repeated", "n_removed", "n_spans", "sha", "kept_text"])
+            yield pa.RecordBatch.from_arrays([rows.column("key"), *(pa.array(out[k], pa.int64()) for k in "crs"), pa.array(out["h"], pa.string()), pa.array(out["t"], pa.string())], names=["key", "n_repeated", "n_removed", "n_spans", "sha", "kept_text"])
 
-    cut = slim.join(found, "doc_id").mapInArrow(run, "doc_id long, n_repeated long, n_removed long, n_spans long, sha string, kept_text string").dropDuplicates(["doc_id"])
-    own = slim.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
+    cut = slim.join(found, "key").mapInArrow(run, "key long, n_repeated long, n_removed long, n_spans long, sha string, kept_text string").dropDuplicates(["key"])
+    own = docs.select("key", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_repeated", "n_removed", "n_spans")]
-    return own.join(cut, "doc_id", "left").select("doc_id", "n_bytes", *zero, F.coalesce("sha", "own").alias("kept_sha256"), "kept_text")
+    return own.join(cut, "key", "left").select("doc_id", "n_bytes", *zero, F.coalesce("sha", "own").alias("kept_sha256"), "kept_text")

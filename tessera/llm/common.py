@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.iterate import scratch
+from ..plans.iterate import kept, scope  # noqa: F401
 
 SLICE = 1 << 18
 ROWS_A_BATCH = 1024
@@ -54,14 +54,6 @@ class small_batches:
         self.conf.set(BATCH_ROWS, self.before)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame, key: str) -> DataFrame:
     """docs with a column key: doc_id, or null where the row isn't the document of its doc_id.
 
@@ -235,6 +227,12 @@ def binaries(data: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 
 def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of edges (a, b); see _components."""
+    with scope() as needed:
+        return needed(kept(_components(edges)))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     """(id, component) with the smallest id reachable, for every id of edges (a, b).
 
     Alternates large-star and small-star steps until no edge changes; each step is one

@@ -339,23 +339,22 @@ def extracted(pages: DataFrame, low: float = LOW, names: float = NAMED) -> DataF
 
     With low=-1 the tree decides nothing, with names=0 the names do not.
     """
-    with C.small_batches(pages.sparkSession):
+    with C.small_batches(pages.sparkSession), C.scope() as needed:
         url, html = F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit(""))
-        all_ = C.kept(parsed(pages.select(host_of(url).alias("host"), "page_id", url.alias("url"), html.alias("html"))))
-    place = all_.select("host", F.explode("places").alias("p")).select("host", "p.place", F.explode("p.features").alias("f")).select("host", "place", "f.kind", "f.feature")
-    tree = C.kept(importance(place))
-    slim = F.transform("places", lambda p: F.struct(p["place"].alias("place"), p["up"].alias("up"), p["mark"].alias("mark"), p["text"].alias("text"))).alias("places")
-    shapes = all_.select("host", "shape", slim).groupBy("host", "shape").agg(F.any_value("places").alias("places"))
-    each = shapes.select("host", "shape", F.posexplode("places").alias("k", "p")).select("host", "shape", "k", "p.*").join(tree.select("host", "place", "look", "content"), ["host", "place"])
-    # A group is a page's places.
-    whole = each.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("k", "place", "up", "mark", "text", "look", "content"))).alias("page"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stay = [important([(p["place"], p["up"], p["mark"], p["text"], p["look"], p["content"]) for p in page], low, names) for page in batch.column("page").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(stay, pa.list_(pa.int64()))], names=["host", "shape", "stay"])
-
-    with C.small_batches(pages.sparkSession):
-        stay = C.kept(whole.mapInArrow(run, "host string, shape long, stay array<long>"))
+        all_ = needed(C.kept(parsed(pages.select(host_of(url).alias("host"), "page_id", url.alias("url"), html.alias("html")))))
+        place = all_.select("host", F.explode("places").alias("p")).select("host", "p.place", F.explode("p.features").alias("f")).select("host", "place", "f.kind", "f.feature")
+        tree = C.kept(importance(place))
+        slim = F.transform("places", lambda p: F.struct(p["place"].alias("place"), p["up"].alias("up"), p["mark"].alias("mark"), p["text"].alias("text"))).alias("places")
+        shapes = all_.select("host", "shape", slim).groupBy("host", "shape").agg(F.any_value("places").alias("places"))
+        each = shapes.select("host", "shape", F.posexplode("places").alias("k", "p")).select("host", "shape", "k", "p.*").join(tree.select("host", "place", "look", "content"), ["host", "place"])
+        # A group is a page's places.
+        whole = each.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("k", "place", "up", "mark", "text", "look", "content"))).alias("page"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stay = [important([(p["place"], p["up"], p["mark"], p["text"], p["look"], p["content"]) for p in page], low, names) for page in batch.column("page").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(stay, pa.list_(pa.int64()))], names=["host", "shape", "stay"])
+
+        stay = needed(C.kept(whole.mapInArrow(run, "host string, shape long, stay array<long>")))
     text = F.array_join(F.transform(F.filter("blocks", lambda b: F.array_contains("stay", b["place"])), lambda b: b["text"]), " ").alias("text")
     return all_.drop("places").join(stay, ["host", "shape"]).select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("long"))

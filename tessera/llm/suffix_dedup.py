@@ -465,7 +465,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, full: int =
     docs = C.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "key")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     out = docs.select("key", F.col("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
-    found = cuts(docs.select(F.col("key").alias("doc_id"), "text"), length, gram, full=full).select(F.col("doc_id").alias("key"), "took", "count", "sha")
+    with C.scope() as needed:
+        found = needed(C.kept(cuts(docs.select(F.col("key").alias("doc_id"), "text"), length, gram, full=full).select(F.col("doc_id").alias("key"), "took", "count", "sha")))
     out = out.join(found, "key", "left")
     took = F.when(F.col("took") == -1, F.col("n_bytes")).otherwise(F.coalesce("took", F.lit(0)))
     return out.select("doc_id", "n_bytes", took.alias("n_removed"), F.coalesce("count", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"))
@@ -475,4 +476,6 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     """docs with the repeated bytes out of text (bytes of a character that was cut through go too)."""
     key = f"_{uuid.uuid4().hex}"
     docs = C.keyed(docs, key)
-    return C.replaced(docs, key, cuts(docs.select(F.col(key).alias("doc_id"), "text"), length, gram, texts=True).select("doc_id", F.col("kept_text").alias("text")))
+    with C.scope() as needed:
+        new = needed(C.kept(cuts(docs.select(F.col(key).alias("doc_id"), "text"), length, gram, texts=True).select("doc_id", F.col("kept_text").alias("text"))))
+    return C.replaced(docs, key, new)
