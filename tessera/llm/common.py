@@ -235,13 +235,12 @@ def components(edges: DataFrame) -> DataFrame:
 def _components(edges: DataFrame) -> DataFrame:
     """(id, component) with the smallest id reachable, for every id of edges (a, b).
 
-    Alternates large-star and small-star steps until no edge changes; each step is one
+    Alternates large-star and small-star steps until all edges are stars; each step is one
     group minimum with map-side combine and one join, and its table is written, so no
     task holds a node's whole neighbourhood and lost executors cost one step.
     """
     e = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that the join has two plain exchanges, whose skewed partitions Spark splits.
         low = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
@@ -249,15 +248,17 @@ def _components(edges: DataFrame) -> DataFrame:
         large = kept(large.where("u <> v").distinct())
         low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.u", "x.v")
-        nxt = kept(small.where("u <> v").distinct())
-        now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = nxt
-        if now == before or not now[0]:
-            break
-        before = now
+        e = kept(small.where("u <> v").distinct())
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each u of the edges (u, v), u > v, has one v, which is no u: then v is the least of its component."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    met = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return met.where(F.col("out") + F.col("in") > 1).where("out > 0").isEmpty()
+
+
 def parts(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions for rows at about so many each, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))

@@ -13,9 +13,9 @@ sorted shingle set, bands of full minima and a b-bit signature. Then:
 3. Within blocks of coarse groups, signatures are compared so too, and where an estimate passes, the link is
    confirmed on full sets: words are numbered by their bytes, so that no hash decides.
 4. Groups of more than one block then compare the documents outside their largest class with those of other blocks that
-   share a shingle of the prefix with them: of n shingles, by rising frequency in the group, the first n - ceil(n * percent / 100) + 1,
+   share a shingle of the prefix with them: of n shingles, by rising frequency in a few documents of the group, the first n - ceil(n * percent / 100) + 1,
    one of which every linked pair has in common. So a common template brings no pairs together, no link is lost
-   and no task holds a group; pairs are looked at by lots and blocks, whatever the group's size.
+   and no task holds a group; pairs are looked at by lots of LOT blocks and blocks, whatever the group's size.
 
 A pair at exactly `percent` shares no band with probability MISS at most: at 85 there are
 32 bands of 6 minima (3e-7), at 80 there are 38 of 5 (3e-7).
@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common as C
 
@@ -41,7 +41,7 @@ WORD = np.ones(256, bool)
 WORD[[0x20, 9, 10, 11, 12, 13]] = False
 WORDS, PERCENT = 5, 85
 MINIMA, BITS, MISS = 192, 2, 1e-6
-BLOCK, STRAYS = 128, 512
+BLOCK, LOT, SAMPLE = 128, 4, 16
 _r = np.random.Generator(np.random.PCG64(7))
 MULTIPLY = _r.integers(1 << 62, size=MINIMA, dtype=np.uint64) * C.U(2) + C.U(1)
 ADD = _r.integers(1 << 63, size=MINIMA, dtype=np.uint64)
@@ -378,31 +378,64 @@ def _hash_lists(data: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 
 def prefixes(large: DataFrame, percent: int) -> DataFrame:
-    """(component, doc_id, s): the rarest shingles within the component of each row of large (component, doc_id, words)."""
-    every = _by_slices(large.select("component", "doc_id", F.col("words").alias("text")), "s", "array<long>", _hash_lists)
-    every = C.kept(every.select("component", "doc_id", F.explode("s").alias("s")))
-    often = C.kept(every.groupBy("component", "s").agg(F.count(F.lit(1)).alias("n")))
-    # A group is one document's shingles.
-    each = every.join(often, ["component", "s"]).groupBy("component", "doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("x"))
-    most = F.size("x") - F.ceil(F.size("x") * percent / 100).cast("int") + 1
-    return each.select("component", "doc_id", F.explode(F.slice("x", F.lit(1), most)).alias("x")).select("component", "doc_id", F.col("x.s").alias("s"))
+    """(component, doc_id, s): the first shingles of each row of large (component, doc_id, words), those rare in the component before others.
+
+    Any order that is the same for all documents of a component loses no pair. How rare a shingle is is told by at most SAMPLE
+    documents of the component: it is ordered by how many of them have it.
+    """
+    pick = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id"))
+    some = large.select("component", "doc_id", F.col("words").alias("text")).withColumn("k", pick).where(F.col("k") <= SAMPLE).drop("k")
+    often = _by_slices(some, "s", "array<long>", _hash_lists).select("component", F.explode("s").alias("s")).groupBy("component", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A row has the shingles of SAMPLE documents at most.
+    often = C.kept(often.groupBy("component").agg(F.collect_list(F.struct("s", "n")).alias("often")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in C.slices(batches):
+            s, so = shingles(data, offs)
+            lists = rows.column("often")
+            known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            out = []
+            for i, component in enumerate(rows.column("component").to_pylist()):
+                if component not in known:
+                    x = lists.slice(i, 1).flatten()
+                    h, n = np.asarray(x.field(0)).view(np.uint64), np.asarray(x.field(1))
+                    order = np.argsort(h)
+                    known[component] = h[order], n[order]
+                h, n = known[component]
+                mine = s[so[i] : so[i + 1]]
+                at = np.minimum(np.searchsorted(h, mine), max(len(h) - 1, 0))
+                rank = np.where(h[at] == mine, n[at], 0) if len(h) else np.zeros(len(mine), np.int64)
+                most = len(mine) - -(-len(mine) * percent // 100) + 1
+                out.append(mine[np.lexsort((mine, rank))[:most]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column("component"), rows.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["component", "doc_id", "s"])
+
+    each = large.select("component", "doc_id", F.col("words").alias("text")).join(often, "component", "left")
+    each = each.select("component", "doc_id", "text", F.coalesce("often", F.array().cast("array<struct<s: bigint, n: bigint>>")).alias("often"))
+    return each.mapInArrow(run, "component long, doc_id long, s array<long>").select("component", "doc_id", F.explode("s").alias("s"))
 
 
 def across(large: DataFrame, percent: int) -> DataFrame:
-    """Units of strays, the documents outside the largest class of their component, and those of a block that share a prefix shingle with them.
+    """Units of a lot of strays, the documents outside the largest class of their component in LOT blocks, and those of a block.
 
-    large: (doc_id, component, n, block, class, sig, words) of components of more than one block.
+    A lot meets its own blocks and those that share a prefix shingle with it, and only documents that share one with
+    another block go there. large: (doc_id, component, n, block, class, sig, words) of components of more than one block.
     """
     held = large.groupBy("component", "class").agg(F.count(F.lit(1)).alias("m"))
     main = held.groupBy("component").agg(F.max_by("class", F.struct("m", "class")).alias("main"), (F.sum("m") - F.max("m")).alias("strays"))
-    main = C.kept(main.where("strays > 0"))
-    lot = F.when(F.col("class") != F.col("main"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.ceil(F.col("strays") / STRAYS)))
-    large = C.kept(large.join(main, "component").withColumn("lot", lot).drop("main", "strays"))
+    main = C.kept(main.where("strays > 0").drop("strays"))
+    own = F.floor(F.col("block") / LOT)
+    large = C.kept(large.join(main, "component").withColumn("lot", F.when(F.col("class") != F.col("main"), own)).drop("main"))
     rare = C.kept(prefixes(large, percent).join(large.select("doc_id", "block", "lot"), "doc_id"))
-    lots = C.kept(rare.where("lot is not null").select("component", "s", "lot").distinct())
-    blocks = C.kept(rare.join(lots.select("component", "s").distinct(), ["component", "s"], "left_semi").select("component", "s", "block").distinct())
-    here = rare.drop("lot").join(lots, ["component", "s"]).select("component", "block", "lot", "doc_id").distinct().withColumn("part", F.lit(1))
-    there = rare.where("lot is not null").drop("block").join(blocks, ["component", "s"]).select("component", "block", "lot", "doc_id").distinct().withColumn("part", F.lit(0))
+    # Shingles that a stray shares with another block; then the documents that have one.
+    met = rare.groupBy("component", "s").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.max("lot").alias("stray")).where("low <> high and stray is not null")
+    met = C.kept(rare.join(C.kept(met.select("component", "s")), ["component", "s"], "left_semi"))
+    lots = met.where("lot is not null").select("component", "s", "lot").distinct()
+    pairs = met.select("component", "s", "block").distinct().join(lots, ["component", "s"]).where(own != F.col("lot")).select("component", "block", "lot")
+    docs = C.kept(met.select("component", "block", "lot", "doc_id").distinct())
+    near = docs.where("lot is not null").select("component", "lot").distinct().join(docs.select("component", own.alias("lot"), "block").distinct(), ["component", "lot"]).select("component", "block", "lot")
+    pairs = C.kept(pairs.unionByName(near).distinct())
+    here = docs.drop("lot").join(pairs, ["component", "block"]).select("component", "block", "lot", "doc_id", F.lit(1).alias("part"))
+    there = docs.where("lot is not null").withColumnRenamed("block", "home").join(pairs, ["component", "lot"]).where("block <> home").select("component", "block", "lot", "doc_id", F.lit(0).alias("part"))
     shape = large.select("doc_id", "class", "sig", "words")
     return here.unionByName(there).join(shape, "doc_id").select(F.xxhash64("component", "block", "lot").alias("unit"), "part", "doc_id", "class", "sig", "words")
 
@@ -412,31 +445,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     C.small_batches(spark)
     docs = C.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "key")
-    every = C.kept(signed(docs, percent))
-    full = every.where("n_shingles > 0 and key is not null").select(F.col("key").alias("doc_id"), "digest", "sig", "bands")
-    reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    alone = full.join(reps, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    banded = alone.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", "key")
-    crowded = C.kept(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
-    met = C.kept(banded.join(crowded, "key"))
-    tied = met.where(f"n > {BLOCK}").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    sigs = full.select("doc_id", "sig").join(met.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = met.where(f"n <= {BLOCK}").select("doc_id", "key").join(sigs, "doc_id")
-    groups = C.kept(C.components(coarse(buckets, percent).unionByName(tied)).withColumnRenamed("id", "doc_id"))
-    # Written, so that joins on a component have plain exchanges, whose skewed partitions Spark splits.
-    sizes = C.kept(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}"))
-    groups = groups.join(sizes, "component", "left").select("doc_id", "component", F.coalesce("n", F.lit(1)).alias("n"))
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    texts = docs.select(F.col("key").alias("doc_id"), "text").join(groups, "doc_id").dropDuplicates(["doc_id"])
-    sets = C.kept(worded(texts.join(sigs, "doc_id").select("doc_id", "component", "n", block, "sig", F.col("text").cast("binary").alias("text"))))
-    inside = confirmed(sets.select(F.xxhash64("component", "block").alias("unit"), F.lit(0).alias("part"), "doc_id", F.col("doc_id").alias("class"), "sig", "words"), percent)
-    links = C.kept(inside)
-    if not sizes.isEmpty():
-        classes = C.components(links).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "class")
-        large = C.kept(sets.where(f"n > {BLOCK}").join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")))
-        links = links.unionByName(C.kept(confirmed(across(large, percent), percent)))
-    found = C.components(links).withColumnRenamed("id", "rep")
-    classes = C.kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
+    with C.scope() as needed:
+        every = needed(C.kept(signed(docs, percent)))
+        full = every.where("n_shingles > 0 and key is not null").select(F.col("key").alias("doc_id"), "digest", "sig", "bands")
+        reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+        alone = full.join(reps, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+        banded = alone.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", "key")
+        crowded = C.kept(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
+        met = C.kept(banded.join(crowded, "key"))
+        tied = met.where(f"n > {BLOCK}").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+        sigs = full.select("doc_id", "sig").join(met.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        buckets = met.where(f"n <= {BLOCK}").select("doc_id", "key").join(sigs, "doc_id")
+        groups = C.kept(C.components(coarse(buckets, percent).unionByName(tied)).withColumnRenamed("id", "doc_id"))
+        # Written, so that joins on a component have plain exchanges, whose skewed partitions Spark splits.
+        sizes = C.kept(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}"))
+        groups = groups.join(sizes, "component", "left").select("doc_id", "component", F.coalesce("n", F.lit(1)).alias("n"))
+        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).alias("block")
+        texts = docs.select(F.col("key").alias("doc_id"), "text").join(groups, "doc_id").dropDuplicates(["doc_id"])
+        sets = C.kept(worded(texts.join(sigs, "doc_id").select("doc_id", "component", "n", block, "sig", F.col("text").cast("binary").alias("text"))))
+        inside = confirmed(sets.select(F.xxhash64("component", "block").alias("unit"), F.lit(0).alias("part"), "doc_id", F.col("doc_id").alias("class"), "sig", "words"), percent)
+        links = C.kept(inside)
+        if not sizes.isEmpty():
+            classes = C.components(links).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "class")
+            large = C.kept(sets.where(f"n > {BLOCK}").join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")))
+            links = links.unionByName(C.kept(confirmed(across(large, percent), percent)))
+        found = C.components(links).withColumnRenamed("id", "rep")
+        classes = needed(C.kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))))
     out = every.select("doc_id", "key", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("key").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

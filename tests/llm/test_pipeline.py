@@ -132,3 +132,13 @@ def test_rows_without_an_id_are_judged_by_their_language(spark, corpus):
     assert got.schema == docs.schema and len(want) > len(good) > 0
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_near_dedup_of_rows_of_any_kind(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, base, "a"), (5, base, "a"), (3, base + " x", "b"), (None, base, "c"), (None, base, "c"), (None, None, None), (7, None, "d"), (8, "", "e"), (9, "alone here", "f"), (9, "other text", "g"), (4, "t " * 100000, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = P.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [r for r in rows if r[0] != 5]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
