@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.iterate import kept
 
-#: Distinct values up to which natural_breaks is exact; beyond, values are first merged into so many equal-count bins.
-EXACT_VALUES = 4096
+#: Distinct values that natural_breaks takes at most, in one task.
+EXACT_VALUES = 1_000_000
 
 
 def counted(df: DataFrame, column: str) -> DataFrame:
@@ -93,21 +93,22 @@ def stddev_breaks(df: DataFrame, column: str) -> DataFrame:
     return _stacked(row, [F.col("m") + k * F.col("s") for k in (-2, -1, 0, 1, 2)])
 
 
-def natural_breaks(df: DataFrame, column: str, k: int) -> DataFrame:
+def natural_breaks(df: DataFrame, column: str, k: int, bins: int | None = None) -> DataFrame:
     """The k classes with the least sum of squares within (Jenks), each cut the last value of the lower class.
 
     The optimum over distinct values and their counts, by dynamic programming with
-    divide and conquer in one task, whose input is bounded: beyond EXACT_VALUES distinct values they are
-    first merged into that many bins of neighbouring values, each with its count, sum, sum of squares and largest value.
+    divide and conquer in one task; refused beyond EXACT_VALUES distinct values. With bins, values are first merged into that many
+    bins of neighbouring values, each with its count, sum, sum of squares and largest value, and the optimum is that of the bins.
     """
     if k < 2:
         raise ValueError("k must be 2 or more")
-    r = ranked(counted(df, column))
-    top = r.agg(F.max("upto").alias("total"), F.count(F.lit(1)).alias("values"))
-    share = F.floor((F.col("upto") - F.col("n")) * EXACT_VALUES / F.col("total"))
-    bin_ = F.when(F.col("values") <= EXACT_VALUES, F.struct(F.lit(0).cast("bigint").alias("b"), F.col("x").alias("v"))).otherwise(F.struct(share.cast("bigint").alias("b"), F.lit(0.0).alias("v")))
+    r = kept(ranked(counted(df, column)))
+    top = r.agg(F.max("upto").alias("total"), F.count(F.lit(1)).alias("values")).first()
+    if (bins or top["values"]) > EXACT_VALUES:
+        raise ValueError(f"{top['values']} different values; natural breaks are found among {EXACT_VALUES} at most: give a number of bins")
+    bin_ = F.floor((F.col("upto") - F.col("n")) * bins / F.lit(max(1, top.total or 1))) if bins else F.col("x")
     x = F.col("x")
-    bins = r.crossJoin(F.broadcast(top)).groupBy(bin_.alias("bin")).agg(F.sum("n").cast("double").alias("n"), F.sum(x * F.col("n")).alias("s"), F.sum(x * x * F.col("n")).alias("q"), F.max("x").alias("x"))
+    merged = r.groupBy(bin_.alias("bin")).agg(F.sum("n").cast("double").alias("n"), F.sum(x * F.col("n")).alias("s"), F.sum(x * x * F.col("n")).alias("q"), F.max("x").alias("x"))
 
     def run(pdf):
         import numpy as np
@@ -149,4 +150,4 @@ def natural_breaks(df: DataFrame, column: str, k: int) -> DataFrame:
             out.append(v[at - 1])
         return pd.DataFrame({"position": np.arange(1, classes, dtype="int32"), "value": out[::-1]})
 
-    return bins.groupBy().applyInPandas(run, "position int, value double")
+    return merged.groupBy().applyInPandas(run, "position int, value double")

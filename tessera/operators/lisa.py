@@ -7,9 +7,9 @@ without replacement from all other nodes. With L permuted statistics at least as
 the observed one, p = (min(L, P - L) + 1) / (P + 1).
 
 Draws come from a hash of (seed, id, permutation, place), so they don't depend on
-partitions, and nothing but the drawn-from values is sent to tasks: all values where there are at
-most POOL nodes, else POOL of them chosen by hash (a uniform sample without replacement, from
-which draws have the same law up to 1 / POOL). The method "lookup" uses one set of draws
+partitions, and nothing but the drawn-from values is sent to tasks: all values, of POOL nodes at most. Beyond, `pool` says
+from how many to draw, chosen by hash (a uniform sample without replacement, from
+which draws have the same law up to 1 / pool). The method "lookup" uses one set of draws
 for all nodes, "complete" a set for each.
 
 Nodes with a null value are undefined (code 5) and are nobody's neighbours; nodes
@@ -256,7 +256,7 @@ def draws(keys: np.ndarray, permutations: int, k: int, n: int) -> np.ndarray:
     return out
 
 
-def permuted(l: Lisa, permutations: int = PERMUTATIONS, permutation_method: str = "complete", seed: int = SEED) -> DataFrame:
+def permuted(l: Lisa, permutations: int = PERMUTATIONS, permutation_method: str = "complete", seed: int = SEED, pool: int | None = None) -> DataFrame:
     """(id, lisa, nn, quadrant, p)."""
     if not 1 <= permutations <= 999_999:
         raise ValueError("permutations must be from 1 to 999999")
@@ -266,10 +266,12 @@ def permuted(l: Lisa, permutations: int = PERMUTATIONS, permutation_method: str
     table = kept(l.table)
     good = table.where(~F.col("bad"))
     n = good.count()
-    pool = good.select("id", *own)
-    if n > POOL:
-        pool = pool.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(POOL)
-    rows = pool.orderBy("id").toPandas()
+    if (pool or n) > POOL:
+        raise ValueError(f"{n} nodes; values of at most {POOL} are sent to tasks: say with pool from how many to draw")
+    drawn = good.select("id", *own)
+    if pool:
+        drawn = drawn.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pool)
+    rows = drawn.orderBy("id").toPandas()
     ids, values = rows["id"].to_numpy(), rows[own].to_numpy(float).T.copy()
     spark = table.sparkSession
     sent = spark.sparkContext.broadcast((ids, values))  # at most POOL rows

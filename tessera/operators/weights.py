@@ -171,7 +171,7 @@ def nearest_in(p: DataFrame, dims: list[str], k: int, distance: Callable[[list[s
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    each = max(4, k * 2 // 3)
+    each = k + 2
     p = kept(p.where(" and ".join(f"{c} is not null" for c in dims)).select("id", *dims))
     ids = kept(p.withColumn("n", F.row_number().over(Window.partitionBy(*dims).orderBy("id"))).where(F.col("n") <= k + 1).drop("n"))
     places = kept(ids.groupBy(*dims).agg(F.min("id").alias("id")))
@@ -187,40 +187,37 @@ def nearest_in(p: DataFrame, dims: list[str], k: int, distance: Callable[[list[s
         q = q.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
         return q.withColumns({f"c_{c}": at(c, prefix, F.col("level")) for c in dims})
 
-    def poorest(q: DataFrame, levels: list[int]) -> DataFrame:
-        """(i, first): the coarsest of levels at which the row's cell holds under `each` places."""
-        split = celled(q, "a", levels)
-        poor = kept(split.groupBy("level", *cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < each).drop("n"))
-        return kept(split.join(poor, ["level", *cells]).groupBy("i").agg(F.min("level").alias("first")))
+    def poor(q: DataFrame) -> DataFrame:
+        """The cells that hold under `each` places; written, so that a join with them has plain exchanges, whose skewed partitions Spark splits."""
+        return kept(q.groupBy("level", *cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < each).drop("n"))
 
+    # First among every fifth level, then among those between: cells only get poorer with the level.
     all_ = _named(places, dims, "i", "a")
-    # First among every fifth level, then among those between; cells only get poorer with the level.
-    coarse = kept(all_.join(poorest(all_, list(range(5, FINEST + 1, 5))), "i", "left").select(*all_.columns, F.coalesce("first", F.lit(FINEST + 5)).alias("first")))
+    split = celled(all_, "a", list(range(5, FINEST + 1, 5)))
+    coarse = split.join(poor(split), ["level", *cells]).groupBy("i").agg(F.min("level").alias("first"))
+    coarse = kept(all_.join(coarse, "i", "left").select(*all_.columns, F.coalesce("first", F.lit(FINEST + 5)).alias("first")))
     between = coarse.withColumn("level", F.explode(F.sequence(F.col("first") - 4, F.least(F.col("first") - 1, F.lit(FINEST))))).withColumns({f"c_{c}": at(c, "a", F.col("level")) for c in dims})
-    count = kept(between.groupBy("level", *cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < each).drop("n"))
-    fine = kept(between.join(count, ["level", *cells]).groupBy("i").agg(F.min("level").alias("fine")))
+    fine = between.join(poor(between), ["level", *cells]).groupBy("i").agg(F.min("level").alias("fine"))
     todo = coarse.join(fine, "i", "left").select(*all_.columns, F.greatest(F.lit(0), F.least(F.lit(FINEST), F.coalesce("fine", "first") - 1)).cast("int").alias("level"))
     if only is not None:
         p = kept(p.join(only.select("id"), "id", "left_semi"))
         todo = todo.join(p.select(*(F.col(c).alias(f"a_{c}") for c in dims)).distinct(), [f"a_{c}" for c in dims], "left_semi")
     todo, done = kept(todo), []
     there = _named(ids, dims, "j", "b")
-    top = Window.partitionBy("i").orderBy("s", "j")
+    top, all_of = Window.partitionBy("i").orderBy("s", "j"), Window.partitionBy("i")
     while levels := sorted(r.level for r in todo.select("level").distinct().collect()):  # FINEST + 1 at most
         a = todo.withColumns({f"c_{c}": at(c, "a", F.col("level")) for c in dims})
         for c in cells:
             a = a.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-        b = celled(there, "b", levels)
-        # Written, so that the join has plain exchanges, whose skewed partitions Spark splits.
-        b = kept(b.join(kept(a.select("level", *cells).distinct()), ["level", *cells], "left_semi"))
-        got = a.join(b, ["level", *cells]).select("i", "level", *(f"a_{c}" for c in dims), "j", distance(dims).alias("s"))
-        got = kept(got.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k + 1))
+        got = a.join(celled(there, "b", levels), ["level", *cells]).select("i", "level", *(f"a_{c}" for c in dims), "j", distance(dims).alias("s"))
+        got = got.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k + 1)
         # The nearest side of the square is at least one cell away.
         size = F.lit(wide) / F.pow(F.lit(2.0), "level") * (1 - 1e-9)
-        good = got.groupBy("i", "level").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("far")).where((F.col("level") == 0) | (F.col("n") == k + 1) & (F.col("far") < (size * size if square else size)))
-        good = kept(good.select("i"))
-        done.append(got.join(good, "i", "left_semi").drop("level"))
-        todo = kept(todo.join(good, "i", "left_anti").withColumn("level", F.col("level") - 1))
+        good = (F.col("level") == 0) | (F.count(F.lit(1)).over(all_of) == k + 1) & (F.max("s").over(all_of) < (size * size if square else size))
+        got = kept(got.withColumn("good", good))
+        done.append(got.where("good").drop("level", "good"))
+        # Each place has a row, its own at least.
+        todo = kept(got.where("not good and rank = 1").select("i", *(f"a_{c}" for c in dims), (F.col("level") - 1).alias("level")))
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)

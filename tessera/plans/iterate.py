@@ -44,6 +44,22 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(spark: SparkSession, data: bytes, name: str) -> str:
+    """The path of a file of that name in a new folder of the shared folder."""
+    path = f"{new_path(spark)}/{name}"
+    put(spark, data, path)
+    return path
+
+
+def put(spark: SparkSession, data: bytes, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def _removed(tables: list[tuple[SparkSession, str]]) -> None:
     for spark, path in tables:
         with contextlib.suppress(Exception):  # a stopped session, or a table that was never written

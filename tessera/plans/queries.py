@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import breaks, rates, scale
 from ..operators import clustering, lisa, match, weights as W
 from ..operators.geometry import area, centroid, perimeter
-from ..sources import weights_io, wkb
+from ..sources import shapefile, weights_io, wkb
 from . import layers as L
-from .iterate import new_path
+from .iterate import new_path, put, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,7 +144,9 @@ def knn_weights_arc(spark, d):
     return W.knn_weights(L.part_globe(spark, d), 4, is_arc=True, is_mile=False).edges
 
 
-QUERIES["voronoi_queen"] = lambda spark, d: W.queen_weights(L.part_points(spark, d)).edges
+QUERIES["voronoi_queen_points"] = lambda spark, d: W.queen_weights(L.part_points(spark, d)).edges
+QUERIES["voronoi_queen"] = lambda spark, d: W.queen_weights(L.nation_grid(spark, d).select("id", "x", "y")).edges
+SQL["voronoi_queen"] = sql_with(L.SQL["nation_grid"], edges("nation_grid", QUEEN), select="select i, j, 1.0::double as w from e")
 QUERIES["voronoi_rook"] = lambda spark, d: W.rook_weights(L.nation_grid(spark, d).select("id", "x", "y")).edges
 # Cells of points on a full grid are squares.
 SQL["voronoi_rook"] = sql_with(L.SQL["nation_grid"], edges("nation_grid", ROOK), select="select i, j, 1.0::double as w from e")
@@ -189,7 +190,11 @@ def weights_stats(spark, d):
     return s.withColumn("sparsity", F.round("sparsity", 9) + F.lit(0.0)).withColumn("mean_neighbors", F.round("mean_neighbors", 6) + F.lit(0.0))
 
 
-@query()
+_names = ["number of observations:", "is symmetric:", "sparsity:", "# min neighbors:", "# max neighbors:", "# mean neighbors:", "# median neighbors:", "has isolates:"]
+_texts = ["num_obs", "(select not exists (select 1 from e a where not exists (select 1 from e b where b.i = a.j and b.j = a.i)))", "sparsity", "min_neighbors", "max_neighbors", "mean_neighbors", "median_neighbors", "has_isolates"]
+
+
+@query(sql_with(*_stats, select=" union all ".join(f"select {k} as position, '{n}' as name, ({t})::varchar as value from st" for k, (n, t) in enumerate(zip(_names, _texts, strict=True), 1))))
 def weights_summary(spark, d):
     return W.weights_summary(customer_queen(spark, d)[1])
 
@@ -424,6 +429,10 @@ _PERMUTED = {
     "local_moran": lambda w, x: lisa.local_moran(w, x, "value"), "local_bimoran": lambda w, x: lisa.local_bimoran(w, x, "value", "other"), "local_geary": lambda w, x: lisa.local_geary(w, x, "value"),
     "local_multigeary": lambda w, x: lisa.local_multigeary(w, x, ["value", "other"]), "local_g": lambda w, x: lisa.local_g(w, x, "value"), "local_gstar": lambda w, x: lisa.local_gstar(w, x, "value"), "local_joincount": lambda w, x: lisa.local_joincount(w, x, "hot"),
 }
+_PERMUTED |= {
+    "local_bijoincount": lambda w, x: lisa.local_bijoincount(w, x.withColumn("cold", 1 - F.col("hot")), "hot", "cold"), "local_multijoincount": lambda w, x: lisa.local_multijoincount(w, x, ["hot", "mid"]),
+    "local_quantilelisa": lambda w, x: lisa.local_quantilelisa(w, x, "value", 4, 1), "local_multiquantilelisa": lambda w, x: lisa.local_multiquantilelisa(w, x, ["value", "other"], [4, 4], [1, 1]),
+}
 for _k, _l in _PERMUTED.items():
     QUERIES[f"{_k}_permuted"] = lambda spark, d, f=_l: lisa.permuted(f(*reversed(customer_queen(spark, d))))
 QUERIES["local_moran_lookup"] = lambda spark, d: lisa.permuted(_PERMUTED["local_moran"](*reversed(customer_queen(spark, d))), permutation_method="lookup")
@@ -650,6 +659,24 @@ def gwt_round_trip(spark, d):
     return rounded(weights_io.read_gwt(spark, path).edges)
 
 
+@query(sql_with(*NATION, select="select i, j, 1.0::double / (j + 1) as w from e"))
+def read_swm(spark, d):
+    nbrs: dict[int, list[int]] = {}
+    for e in nation_queen(spark, d)[1].edges.orderBy("i", "j").collect():  # of 25 nations
+        nbrs.setdefault(e.i, []).append(e.j)
+    data = weights_io.packed([(i, js, [1.0 / (j + 1) for j in js]) for i, js in sorted(nbrs.items())])
+    return weights_io.read_swm(spark, stored(spark, data, "nations.swm")).edges
+
+
+@query(sql_with(L.SQL["nation_grid"], select="select id + 1 as id, 'n' || id as NAME, x as COL, round(x / 4.0, 2)::double as PART, 1.0::double as area, x + 0.5::double as cx, y + 0.5::double as cy from nation_grid"))
+def geoda_open(spark, d):
+    rows = L.nation_grid(spark, d).orderBy("id").collect()  # 25 nations
+    path = stored(spark, shapefile.packed([[[(p.x, p.y) for p in ring] for ring in r.rings] for r in rows]), "nations.shp")
+    put(spark, shapefile.packed_table([("NAME", "C", 8, 0), ("COL", "N", 8, 0), ("PART", "N", 10, 2)], [(f"n{r.id}", str(r.x), f"{r.x / 4:.2f}") for r in rows]), path[:-3] + "dbf")
+    x, y = centroid(F.col("rings"))
+    return shapefile.open_shapefile(spark, path).select("id", "NAME", "COL", "PART", area(F.col("rings")).alias("area"), F.round(x, 9).alias("cx"), F.round(y, 9).alias("cy"))
+
+
 @query("select * from (values (0, 'id', 'integer'), (1, 'x', 'integer'), (2, 'y', 'integer'), (3, 'value', 'real'), (4, 'other', 'real'), (5, 'region', 'integer')) as t(position, field, type)")
 def layer_info(spark, d):
     return wkb.layer_info(L.nation_grid(spark, d))

@@ -79,6 +79,29 @@ def records(b: bytes) -> Iterator[list]:
         yield row
 
 
+def packed(polygons: list[list[list[tuple[float, float]]] | None]) -> bytes:
+    """A .shp file of polygons, each a list of rings; null shapes are None."""
+    body = []
+    for k, rings in enumerate(polygons, 1):
+        content = struct.pack("<i", 0)
+        if rings is not None:
+            points = [p for ring in rings for p in ring]
+            x, y = [p[0] for p in points], [p[1] for p in points]
+            firsts = [sum(len(r) for r in rings[:n]) for n in range(len(rings))]
+            content = struct.pack("<i4d2i", 5, min(x), min(y), max(x), max(y), len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *firsts) + b"".join(struct.pack("<2d", *p) for p in points)
+        body.append(struct.pack(">ii", k, len(content) // 2) + content)
+    body = b"".join(body)
+    return struct.pack(">i20xi", 9994, (100 + len(body)) // 2).ljust(100, b"\0") + body
+
+
+def packed_table(columns: list[tuple[str, str, int, int]], rows: list[tuple]) -> bytes:
+    """A .dbf file of rows of texts; columns as `fields` gives them."""
+    head = struct.pack("<B3xIHH20x", 3, len(rows), 32 + 32 * len(columns) + 1, 1 + sum(c[2] for c in columns))
+    for name, kind, width, decimals in columns:
+        head += name.encode().ljust(11, b"\0") + kind.encode() + b"\0" * 4 + bytes([width, decimals]) + b"\0" * 14
+    return head + b"\r" + b"".join(b" " + b"".join(v.rjust(c[2]).encode() for v, c in zip(r, columns, strict=True)) for r in rows) + b"\x1a"
+
+
 def open_shapefile(spark: SparkSession, path: str) -> DataFrame:
     """The layer of one .shp file and the .dbf beside it: id (1, 2 ...), its fields, rings."""
     if not isinstance(path, str):

@@ -113,7 +113,24 @@ def test_natural_breaks_are_best(spark, monkeypatch):
         assert len(got) == k - 1 and abs(sse(got) - best) < 1e-9
     monkeypatch.setattr(breaks, "EXACT_VALUES", 50)
     df = spark.range(1000).select((F.col("id") % 500 + F.when(F.col("id") % 500 >= 250, 10_000).otherwise(0)).cast("double").alias("v"))
-    assert abs([x.value for x in breaks.natural_breaks(df, "v", 2).collect()][0] - 249) <= 10
+    with pytest.raises(ValueError):
+        breaks.natural_breaks(df, "v", 2)
+    assert abs([x.value for x in breaks.natural_breaks(df, "v", 2, bins=50).collect()][0] - 249) <= 10
+
+
+def test_nearest_with_an_outlier(spark):
+    """Points far from a crowd, and crowds within crowds, by brute force."""
+    r = random.Random(3)
+    rows = [(r.gauss(0, 1), r.gauss(0, 1)) for _ in range(150)] + [(5 + r.gauss(0, 1e-6), 5.0) for _ in range(60)] + [(1e9, 1e9), (1e9 + 1, 1e9), (-3e4, 2.0)] + [(7.0, 7.0)] * 9
+    rows = [(i, x, y) for i, (x, y) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    want = {i: [j for _, j in sorted(((x - a) * (x - a) + (y - b) * (y - b), j) for j, a, b in rows if j != i)[:5]] for i, x, y in rows}
+    got = {}
+    for e in W.nearest(df, 5).orderBy("i", "rank").collect():
+        got.setdefault(e.i, []).append(e.j)
+    assert got == want
+    few = W.nearest(df, 5, only=df.where("id in (3, 210, 212)").select("id")).orderBy("i", "rank").collect()
+    assert [e.j for e in few] == [j for i in (3, 210, 212) for j in want[i]]
 
 
 def test_fragmentation(spark):
@@ -354,3 +371,27 @@ def test_streaming_refresh(spark, guerry, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert abs(out[max(out)] - 0.516120231) < 1e-9
+
+
+def test_diameter_by_bounds(spark, monkeypatch):
+    monkeypatch.setattr(C, "SOURCES", 2)
+    r = random.Random(7)
+    rows = [(i, i // 40) for i in range(120)]
+    links = {(i, i + 1) for i in range(119) if (i + 1) % 40} | {(a, a + r.randrange(2, 9)) for a in r.sample(range(0, 28), 6)}
+    both = [(i, j, 1.0) for a, b in links for i, j in ((a, b), (b, a)) if i // 40 == j // 40]
+    near = {}
+    for i, j, _ in both:
+        near.setdefault(i, []).append(j)
+
+    def far(i):
+        d, todo = {i: 0}, [i]
+        for x in todo:
+            for y in near[x]:
+                if y not in d:
+                    d[y] = d[x] + 1
+                    todo.append(y)
+        return max(d.values())
+
+    w = W.Weights(spark.createDataFrame([(i,) for i, _ in rows], "id long"), spark.createDataFrame(both, "i long, j long, w double"))
+    got = {x.cluster: x.steps for x in C.diameter(spark.createDataFrame(rows, "id long, cluster long"), w).collect()}
+    assert got == {c: max(far(i) for i, k in rows if k == c) for c in range(3)}
