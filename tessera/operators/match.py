@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scale import scaled
-from ..plans.iterate import kept, scope
+from ..plans.iterate import apart, kept, scope
 from .weights import knn_weights, nearest_in, squares
 
 DISTANCES = ("euclidean", "manhattan")
@@ -75,8 +75,8 @@ def neighbor_match_test(layer: DataFrame, columns: list[str], k: int, scale_meth
         raise ValueError("k must be 1 or more")
     near = knn_weights(layer, k, power, is_inverse, is_arc, is_mile).edges.select("i", "j")
     like = attribute_nearest(scaled(layer, columns, scale_method), columns, k, distance_method).select("i", "j")
-    both = near.join(like, ["i", "j"]).groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("v"))
-    x = layer.select("id").join(both, "id", "left").select("id", F.coalesce("v", F.lit(0)).alias("cardinality"))
+    both = near.join(apart(like), ["i", "j"]).groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("v"))
+    x = layer.select("id").join(apart(both), "id", "left").select("id", F.coalesce("v", F.lit(0)).alias("cardinality"))
     x = x.crossJoin(F.broadcast(layer.agg(F.count(F.lit(1)).alias("n"))))  # one row
     log_choose = lambda a, b: F.aggregate(F.sequence(F.lit(1).cast("bigint"), b.cast("bigint")), F.lit(0.0), lambda s, i: s + F.log((a - b + i).cast("double")) - F.log(i.cast("double")))
     choose = lambda a, b: F.when((b < 0) | (b > a), None).when(b == 0, 0.0).otherwise(log_choose(a, b))

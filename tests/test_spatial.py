@@ -258,6 +258,33 @@ def test_distance_against_brute_force(points):
             bad()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distance_joins_pass_the_driver_by(points, tmp_path):
+    """A small file makes many rows around cells; estimates of its size must not lead to a broadcast."""
+    points[1].write.parquet(str(tmp_path / "p"))
+    df = points[1].sparkSession.read.parquet(str(tmp_path / "p"))
+    w = W.distance_weights(df, 4.0, 1.0, True)
+    for x in (w.edges, W.get_neighbors_weights(w, 12), W.kernel_weights(df, 4.0, "gaussian").edges, W.distance_weights(df, 300.0, is_arc=True, is_mile=False).edges):
+        assert "Broadcast" not in plan_of(x) and "SortMergeJoin" in plan_of(x)
+    want = {i for i, a, b in points[0] if i != 12 and math.dist(points[0][12][1:], (a, b)) <= 4}
+    assert {r.j for r in W.get_neighbors_weights(w, 12).collect()} == want
+
+
+def test_nearest_joins_pass_the_driver_by(points, monkeypatch):
+    plans = []
+    monkeypatch.setattr(W, "kept", lambda df: (plans.append(plan_of(df)), iterate.kept(df))[1])
+    near = W.knn_weights(points[1], 5)
+    few = W.nearest(points[1], 5, only=points[1].where("id < 9").select("id"))
+    assert near.edges.count() == 5 * points[1].count() and few.count() == 45
+    plans.append(plan_of(W.asymmetric_links(near)))
+    like = match.neighbor_match_test(points[1], ["x", "y"], 5, "raw")
+    assert like.agg(F.min("cardinality")).first()[0] == 5
+    assert not any("BroadcastHashJoin" in x for x in [*plans, plan_of(like)]) and any("SortMergeJoin" in x for x in plans)
+
+
 def test_voronoi_contiguity(spark):
     grid = [(y * 4 + x, float(x), float(y)) for y in range(4) for x in range(4)]
     e = lambda w: {(r.i, r.j) for r in w.edges.collect()}
