@@ -94,3 +94,19 @@ def test_shapefile(spark, tmp_path):
     assert {tuple(r)[:2] for r in W.queen_weights(layer).edges.collect()} == {(1, 2), (2, 1)}
     with pytest.raises(TypeError):
         shapefile.open_shapefile(spark, 5)
+
+
+def test_gal_in_blocks(spark, tmp_path):
+    """A part that is read in many blocks, whose borders fall anywhere; a row never holds the part."""
+    want = {(i, (i * k) % 400) for i in range(400) for k in range(2, 2 + i % 4)}
+    for head in ("0 400 layer id\n", "400\r\n", ""):
+        text = head + "".join(f"{i} {i % 4}\n{' '.join(str((i * k) % 400) for k in range(2, 2 + i % 4))}\n" for i in range(400))
+        (tmp_path / "x.gal").write_bytes(text.encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "900b")
+        try:
+            w = IO.read_gal(spark, str(tmp_path / "x.gal"))
+            assert {(r.i, r.j) for r in w.edges.collect()} == want and w.nodes.count() == 400
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
