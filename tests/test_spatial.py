@@ -291,6 +291,22 @@ def test_nearest_joins_pass_the_driver_by(points, monkeypatch):
     assert not any("BroadcastHashJoin" in x for x in [*plans, plan_of(like)]) and any("SortMergeJoin" in x for x in plans)
 
 
+def test_kernels_of_nearest_pass_the_driver_by(points, monkeypatch):
+    """Only a single row, the largest distance, is broadcast."""
+    rows, df = points
+    plans = []
+    monkeypatch.setattr(W, "kept", lambda df: (plans.append(plan_of(df)), iterate.kept(df))[1])
+    near = {i: sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in rows if j != i)[:6] for i, x, y in rows}
+    largest = max(math.sqrt(n[-1][0]) for n in near.values())
+    for adaptive in (True, False):
+        w = W.kernel_knn_weights(df, 6, "triangular", adaptive).edges
+        plans.append(plan_of(w))
+        got = {(r.i, r.j): r.w for r in w.collect()}
+        want = {(i, j): 1 - math.sqrt(s) / h if (h := math.sqrt(n[-1][0]) if adaptive else largest) else 1.0 for i, n in near.items() for s, j in n}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert not any("BroadcastHashJoin" in x for x in plans) and any("SortMergeJoin" in x for x in plans)
+
+
 def test_voronoi_contiguity(spark):
     grid = [(y * 4 + x, float(x), float(y)) for y in range(4) for x in range(4)]
     e = lambda w: {(r.i, r.j) for r in w.edges.collect()}
