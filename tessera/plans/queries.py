@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import breaks, rates, scale
 from ..operators import clustering, lisa, match, weights as W
@@ -33,6 +33,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def rounded_links(df: DataFrame, digits: int = 6) -> DataFrame:
+    """As rounded(), for results of billions of rows: F.round prints and reads each value, here only those near a tie or large, whose product isn't safe."""
+    scale = 10.0**digits
+
+    def quick(c: str) -> Column:
+        x = F.col(c) * scale
+        sure = (F.abs(x - F.rint(x)) < 0.499) & (F.abs(x) < 1e9)
+        return F.when(sure, F.rint(x) / scale).otherwise(F.round(c, digits)) + F.lit(0.0)
+
+    return df.select(*(quick(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 def r(x: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0"
 
@@ -117,7 +129,7 @@ def distance_weights(spark, d):
 
 @query(sql_with(*ALL_NEAR, select=f"select i, j, {r('d ** -2.0')} as w from near where d <= {BAND}"))
 def distance_weights_inverse(spark, d):
-    return rounded(W.distance_weights(L.part_points(spark, d), BAND, 2.0, True).edges)
+    return rounded_links(W.distance_weights(L.part_points(spark, d), BAND, 2.0, True).edges)
 
 
 _globe = """g as (select id, cos(radians(y)) * cos(radians(x)) as x, cos(radians(y)) * sin(radians(x)) as y, sin(radians(y)) as z from part_globe),
@@ -154,7 +166,7 @@ SQL["voronoi_rook"] = sql_with(L.SQL["nation_grid"], edges("nation_grid", ROOK),
 _kernel = {"triangular": "1 - z", "uniform": "0.5::double", "epanechnikov": "0.75 * (1 - z * z)", "quartic": "15 / 16 * (1 - z * z) ** 2", "gaussian": "exp(-z * z / 2) / sqrt(2 * pi())"}
 _own = {"triangular": "1.0::double", "uniform": "0.5::double", "epanechnikov": "0.75::double", "quartic": "0.9375::double", "gaussian": "1 / sqrt(2 * pi())"}
 for _k, _f in _kernel.items():
-    QUERIES[f"kernel_weights_{_k}"] = lambda spark, d, k=_k: rounded(W.kernel_weights(L.part_points(spark, d), BAND, k).edges)
+    QUERIES[f"kernel_weights_{_k}"] = lambda spark, d, k=_k: rounded_links(W.kernel_weights(L.part_points(spark, d), BAND, k).edges)
     SQL[f"kernel_weights_{_k}"] = sql_with(*ALL_NEAR, select=f"select i, j, {r(_f)} as w from (select i, j, d / {BAND} as z from near where d <= {BAND})")
     QUERIES[f"kernel_knn_weights_{_k}"] = lambda spark, d, k=_k: rounded(W.kernel_knn_weights(L.part_points(spark, d), 6, k, use_kernel_diagonals=True).edges)
     SQL[f"kernel_knn_weights_{_k}"] = sql_with(*ALL_NEAR, KNN, select=f"select i, j, {r(_f)} as w from (select i, j, d / max(d) over (partition by i) as z from knn)")

@@ -279,6 +279,21 @@ def test_distance_joins_pass_the_driver_by(points, tmp_path):
     assert {r.j for r in W.get_neighbors_weights(w, 12).collect()} == want
 
 
+def test_weights_of_links_are_rounded_like_round(spark, tmp_path):
+    """Links by the billion are rounded without printing each weight, to the very values of F.round, also at ties and where a product is unsafe."""
+    from tessera.plans import queries as Q
+
+    r = random.Random(2)
+    odd = [0.0, -0.0, -1e-7, 0.0000005, -0.0000005, 1.0000015, 2.5e-6, 0.9999995, 999.9999985, 1e9, 123456789.1234565, 1e300, -1e300, 5e-324, math.inf, -math.inf, math.nan, None]
+    values = odd + [k / 1e6 + 5e-7 for k in range(500)] + [math.nextafter(k / 1e6 + 5e-7, 1 - k % 2 * 2) for k in range(500)] + [r.uniform(-1, 1) * 10.0 ** r.randrange(-9, 12) for _ in range(3000)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "i long, w double")
+    rows = [dict((x.i, repr(x.w)) for x in f(df).collect()) for f in (Q.rounded, Q.rounded_links)]
+    assert rows[0] == rows[1] and len(rows[1]) == len(values)
+    spark.sql("select cast(id as bigint) p_partkey, 1.0D p_retailprice, 1 p_size from range(50)").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("distance_weights_inverse", *(f"kernel_weights_{k}" for k in ("epanechnikov", "gaussian", "quartic", "triangular"))):
+        assert "rint" in plan_of(Q.QUERIES[name](spark, str(tmp_path))).lower(), name
+
+
 def test_nearest_joins_pass_the_driver_by(points, monkeypatch):
     plans = []
     monkeypatch.setattr(W, "kept", lambda df: (plans.append(plan_of(df)), iterate.kept(df))[1])
