@@ -294,6 +294,19 @@ def test_weights_of_links_are_rounded_like_round(spark, tmp_path):
         assert "rint" in plan_of(Q.QUERIES[name](spark, str(tmp_path))).lower(), name
 
 
+def test_triangular_kernel_passes_the_driver_by(spark, tmp_path):
+    """The registered query on a small file, two parts to a place: plain exchanges, and all links with their weights."""
+    from tessera.plans import queries as Q
+
+    spark.sql("select id div 2 + id % 2 * 1009 * 1013 p_partkey, 1.0D p_retailprice, 1 p_size from range(600)").write.parquet(str(tmp_path / "part.parquet"))
+    df = Q.QUERIES["kernel_weights_triangular"](spark, str(tmp_path))
+    assert "Broadcast" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
+    at = {i: (i * 7919 % 1009, i * 104729 % 1013) for k in range(300) for i in (k, k + 1009 * 1013)}
+    want = {(i, j): round(1 - d / 40, 6) for i, j in itertools.permutations(at, 2) if (d := math.dist(at[i], at[j])) <= 40}
+    rows = df.collect()
+    assert {(x.i, x.j): x.w for x in rows} == want and len(rows) == len(want) and want[0, 1009 * 1013] == 1.0
+
+
 def test_nearest_joins_pass_the_driver_by(points, monkeypatch):
     plans = []
     monkeypatch.setattr(W, "kept", lambda df: (plans.append(plan_of(df)), iterate.kept(df))[1])
