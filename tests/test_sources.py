@@ -1,3 +1,4 @@
+import gzip
 import struct
 
 import pytest
@@ -31,6 +32,14 @@ def test_gal_and_gwt_round_trip(spark, w, tmp_path):
         IO.save_weights(w, str(tmp_path / "x"), id_variable="")
 
 
+def test_gwt_lines_are_made_after_the_sort_and_can_be_compressed(spark, w, tmp_path):
+    assert IO.save_weights(w, str(tmp_path / "z"), "map", "ID", "gwt", compression="gzip")
+    parts = sorted((tmp_path / "z").glob("part-*"))
+    assert parts and all(p.name.endswith(".gz") for p in parts)
+    assert "".join(gzip.decompress(p.read_bytes()).decode() for p in parts) == "0 4 map ID\n1 2 0.5\n2 1 0.5\n2 3 1.25\n3 2 1.25\n"
+    assert edges(IO.read_gwt(spark, str(tmp_path / "z"))) == edges(w)
+
+
 def test_string_ids(spark, w, tmp_path):
     names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (10, "d")], "id long, name string")
     IO.save_weights(w, str(tmp_path / "s"), kind="gal", ids=names)
